@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from siteglass.functions import html as H
 from siteglass.functions import text as X
+from siteglass.functions.rows import explode_rows
 from siteglass.functions.text import Sql, each, keep, let
 
 # The keys followed when collecting typed nodes.
@@ -147,9 +148,8 @@ def with_blocks(pages: DataFrame) -> DataFrame:
 def jsonld_nodes(pages: DataFrame) -> DataFrame:
     """One row per typed node: url, node_ordinal, types, node."""
     df = with_nodes(with_blocks(pages.select("url", "html")))
-    return df.select("url", F.posexplode("nodes").alias("node_ordinal", "n")).selectExpr(
-        "url", "node_ordinal", "n.types", "n.node"
-    )
+    rows = explode_rows(df, "nodes", "n", "url", position="node_ordinal")
+    return rows.selectExpr("url", "node_ordinal", "n.types", "n.node")
 
 
 def jsonld_signals(pages: DataFrame) -> DataFrame:
@@ -160,4 +160,4 @@ def jsonld_signals(pages: DataFrame) -> DataFrame:
 def root_types(pages: DataFrame) -> DataFrame:
     """One row per page and root type."""
     df = with_root_types(with_blocks(pages.select("url", "html")))
-    return df.select("url", F.explode("root_types").alias("root_type"))
+    return explode_rows(df, "root_types", "root_type", "url")

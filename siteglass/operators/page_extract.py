@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from siteglass.functions import html as H
 from siteglass.functions import text as X
 from siteglass.functions import urls as U
+from siteglass.functions.rows import explode_rows
 from siteglass.functions.text import Sql, each, keep, let, some
 from siteglass.operators import jsonld
 
@@ -172,16 +173,14 @@ def page_facts(facts: DataFrame) -> DataFrame:
 
 
 def page_headings(facts: DataFrame) -> DataFrame:
-    return facts.select("url", F.posexplode("headings").alias("ordinal", "h")).selectExpr(
-        "url", "ordinal", "h.level", "h.text"
-    )
+    rows = explode_rows(facts, "headings", "h", "url", position="ordinal")
+    return rows.selectExpr("url", "ordinal", "h.level", "h.text")
 
 
 def page_links(facts: DataFrame) -> DataFrame:
     """One row per distinct link target of a page."""
-    return facts.select("url", F.explode("targets").alias("target")).withColumn(
-        "internal", F.expr(is_internal("target", U.host_of("url")))
-    )
+    rows = explode_rows(facts, "targets", "target", "url")
+    return rows.withColumn("internal", F.expr(is_internal("target", U.host_of("url"))))
 
 
 def body_text(facts: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siteglass.functions import text as X
+from siteglass.functions.rows import explode_rows
 from siteglass.functions.text import Sql, some
 
 # Check ids and weights.
@@ -241,7 +242,7 @@ def with_scores(facts: DataFrame, version: str = "1.0.0") -> DataFrame:
 
 def seo_checks(scored: DataFrame) -> DataFrame:
     """Long form: url, check_id, level, weight, value."""
-    return scored.select("url", F.explode("checks").alias("c")).select("url", "c.*")
+    return explode_rows(scored, "checks", "c", "url").select("url", "c.*")
 
 
 def seo_score(scored: DataFrame) -> DataFrame:
@@ -256,24 +257,20 @@ def geo_score(scored: DataFrame) -> DataFrame:
 
 def geo_breakdown(scored: DataFrame) -> DataFrame:
     """Long form: url, dimension, score, max, and the page total."""
-    return scored.select("url", "geo_score", F.explode("breakdown").alias("d")).selectExpr(
-        "url", "d.id AS dimension", "d.score", "d.max", "geo_score"
-    )
+    rows = explode_rows(scored, "breakdown", "d", "url", "geo_score")
+    return rows.selectExpr("url", "d.id AS dimension", "d.score", "d.max", "geo_score")
 
 
 def weak_dimension_advice(scored: DataFrame) -> DataFrame:
     """Dimensions under three quarters of their cap, with advice text; pages without any get `all-good`."""
     texts = ", ".join(f"{X.lit(k)}, {X.lit(v)}" for k, v in ADVICE_TEXT.items())
     weak = f"transform(filter(breakdown, d -> d.score / d.max < {ADVICE_RATIO}D), d -> d.id)"
-    return (
-        scored.where("size(breakdown) > 0")
-        .selectExpr("url", f"{weak} AS weak")
-        .selectExpr("url", "explode(CASE WHEN size(weak) > 0 THEN weak ELSE array('all-good') END) AS advice_id")
-        .selectExpr("url", "advice_id", f"try_element_at(map({texts}), advice_id) AS advice")
-    )
+    named = "CASE WHEN size(weak) > 0 THEN weak WHEN scored THEN array('all-good') END"
+    rows = explode_rows(scored.selectExpr("url", f"{weak} AS weak", "size(breakdown) > 0 AS scored"), named, "advice_id", "url")
+    return rows.selectExpr("url", "advice_id", f"try_element_at(map({texts}), advice_id) AS advice")
 
 
 def fetch_failures(scored: DataFrame) -> DataFrame:
     """Pages that could not be fetched at all: the single fetch check and zero scores."""
-    failed = scored.where("http_status = 0").select("url", F.explode("checks").alias("c"), "seo_score", "geo_score")
+    failed = explode_rows(scored.where("http_status = 0"), "checks", "c", "url", "seo_score", "geo_score")
     return failed.selectExpr("url", "c.check_id", "c.level", "c.weight", "seo_score", "geo_score")

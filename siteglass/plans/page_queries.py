@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siteglass.functions.rows import spread
 from siteglass.operators import findings as D
 from siteglass.operators import page_extract as P
 from siteglass.operators import scoring as S
@@ -17,7 +18,7 @@ AS_OF = dt.datetime(2025, 1, 1)
 
 
 def snapshot(t: Tables) -> DataFrame:
-    return as_snapshot(t.pages)
+    return as_snapshot(spread(t.pages))
 
 
 def facts(t: Tables) -> DataFrame:
