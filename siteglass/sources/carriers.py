@@ -167,3 +167,61 @@ def observations(events: DataFrame) -> DataFrame:
         "named_struct('expected', 1, 'observed', CASE WHEN value > 200 THEN 0 ELSE 1 END, 'ratio', CASE WHEN value > 200 THEN 0D ELSE 1D END) AS coverage",
         "event_id AS write_seq",
     )
+
+
+def language_pages(customer: DataFrame) -> DataFrame:
+    """Pages with language alternates in tags or header, and the states their targets can be in."""
+    own, nxt = "concat('https://i18n.example.com/', c_custkey)", "concat('https://i18n.example.com/', c_custkey + 1)"
+    tag = "concat('<link rel=\"alternate\" hreflang=\"', {lang}, '\" href=\"', {url}, '\">')"
+    return customer.selectExpr(
+        f"{own} AS url",
+        f"CASE c_mktsegment WHEN 'BUILDING' THEN concat({tag.format(lang=repr('en'), url=own)}, {tag.format(lang=repr('de'), url=nxt)}, {tag.format(lang=repr('x-default'), url=own)}) "
+        f"WHEN 'AUTOMOBILE' THEN {tag.format(lang=repr('fr-FR'), url=nxt)} WHEN 'MACHINERY' THEN {tag.format(lang=repr('english'), url=own)} ELSE '<p>none</p>' END AS html",
+        f"CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN concat('<', {nxt}, '>; rel=\"alternate\"; hreflang=\"de\"') END AS link_header",
+        "CASE WHEN c_nationkey = 3 THEN 404 ELSE 200 END AS http_status", "c_nationkey = 4 AS noindex",
+        "CASE WHEN c_nationkey = 5 THEN array('https://i18n.example.com/moved') ELSE cast(array() AS array<string>) END AS redirect_chain",
+        f"CASE c_nationkey WHEN 6 THEN 'https://i18n.example.com/canon' WHEN 7 THEN NULL ELSE {own} END AS canonical",
+        "CASE c_nationkey WHEN 7 THEN 'ZH-cn' WHEN 8 THEN 'en' WHEN 9 THEN 'zh' ELSE '' END AS html_lang",
+        "CASE c_nationkey WHEN 7 THEN 'plain latin text' WHEN 8 THEN '中文字符 mixed' WHEN 9 THEN '中文 half' ELSE 'text' END AS text",
+    )
+
+
+def language_sitemaps(customer: DataFrame) -> DataFrame:
+    """Sitemap files with alternates for every page of one segment."""
+    return customer.where("c_mktsegment = 'FURNITURE'").selectExpr(
+        "concat('https://i18n.example.com/map', c_custkey, '.xml') AS url",
+        "concat('<urlset><url>\\n<loc> https://i18n.example.com/', c_custkey, ' </loc><xhtml:link rel=\"alternate\" hreflang=\"es\" href=\"https://i18n.example.com/', "
+        "c_custkey + 2, '\"/></url></urlset>') AS body",
+    )
+
+
+def sitemap_files(part: DataFrame) -> DataFrame:
+    """A tree of sitemap files: file k is an index of files 2k+1 and 2k+2, or a list of two pages."""
+    file = "'https://sm.example.com/f'"
+    return part.selectExpr(
+        f"concat({file}, p_partkey, '.xml') AS url",
+        f"CASE WHEN p_size % 3 = 0 THEN concat('<?xml version=\"1.0\"?><sitemapindex ><sitemap><loc>', {file}, 2 * p_partkey + 1, '.xml</loc></sitemap><sitemap><loc>', "
+        f"{file}, 2 * p_partkey + 2, '.xml</loc></sitemap></sitemapindex>') "
+        "ELSE concat('<urlset><url><sm:loc><![CDATA[ https://sm.example.com/p', p_partkey, ' ]]></sm:loc></url><url><loc>\\nhttps://sm.example.com/q', "
+        "p_partkey % 10, '</loc></url><url><loc> </loc></url></urlset>') END AS body",
+    )
+
+
+def robots_files(customer: DataFrame) -> DataFrame:
+    """Robots and guide files of one site per customer; the account balance decides which are absent."""
+    body = (
+        "concat('# file of ', c_name, '\\nUser-agent: *\\nDisallow: /private # hidden\\nAllow: /private/open\\n', CASE c_mktsegment "
+        "WHEN 'BUILDING' THEN 'User-agent: GPTBot\\nDisallow: /\\n' "
+        "WHEN 'AUTOMOBILE' THEN 'User-agent: GPTBot\\nUser-agent: ClaudeBot\\nAllow: /\\nDisallow: /\\nDisallow: /a\\n' "
+        "WHEN 'MACHINERY' THEN 'User-Agent: Baiduspider\\nDisallow: /\\nCrawl-delay: 5\\n' "
+        "WHEN 'HOUSEHOLD' THEN 'Disallow: /\\n' ELSE 'User-agent: PerplexityBot\\nDisallow:\\n' END, "
+        "'Crawl-delay: ', c_nationkey, '\\nSitemap: https://', lower(replace(c_name, '#', '-')), '.example.com/sm.xml\\n')"
+    )
+    guide = (
+        "concat(CASE WHEN c_nationkey % 4 = 0 THEN '' ELSE concat('# ', c_name, '\\n') END, CASE WHEN c_nationkey % 3 = 0 THEN '' ELSE '> about us\\n' END, "
+        "repeat('## part\\n', cast(c_nationkey % 5 AS int)), repeat('- [a](https://x.test/a)\\n', cast(c_nationkey % 7 AS int)))"
+    )
+    return customer.selectExpr(
+        "concat('https://', lower(replace(c_name, '#', '-')), '.example.com') AS site",
+        f"CASE WHEN c_acctbal >= 0 THEN {body} END AS robots", f"CASE WHEN c_acctbal < 5000 THEN {guide} END AS guide",
+    )
