@@ -263,11 +263,12 @@ def _(t):
 
 
 @query("log_read", """
-SELECT count(*) FILTER (event_id % 10 <> 3) AS good, count(*) FILTER (event_id % 10 = 3) AS quarantined FROM events""")
+SELECT CASE WHEN event_id % 10 = 3 THEN 'quarantined' ELSE 'good' END AS outcome, count(*) AS lines FROM events GROUP BY 1""")
 def _(t):
     line = "CASE WHEN event_id % 10 = 3 THEN concat('{\"id\": \"', event_id) ELSE to_json(named_struct('id', cast(event_id AS string), 'kind', event_type)) END AS line"
     good, bad = E.parse_lines(t.events.selectExpr(line))
-    return good.agg(F.count("*").alias("good")).join(bad.agg(F.count("*").alias("quarantined")))
+    marked = good.selectExpr("'good' AS outcome").unionByName(bad.selectExpr("'quarantined' AS outcome"))
+    return marked.groupBy("outcome").agg(F.count("*").alias("lines"))
 
 
 @query("normalize_legacy", """
