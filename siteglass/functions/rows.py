@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,18 @@ def explode_rows(df: DataFrame, values: str, alias: str, *keep: str, position: s
     return out.where(F.col(alias).isNotNull())
 
 
+_fences = count()
+
+
+def fence(df: DataFrame) -> DataFrame:
+    """Keep filters on derived columns above their derivation; column pruning still passes.
+
+    A filter pushed through a long projection chain repeats the whole derivation in its condition, once per use.
+    Observing a row count is the plan boundary that stops this at no cost.
+    """
+    return df.observe(f"siteglass_rows_{next(_fences)}", F.count(F.lit(1)).alias("rows"))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give every core a share when the input has fewer splits than cores; large inputs are left alone."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from siteglass.functions import html as H
 from siteglass.functions import text as X
 from siteglass.functions import urls as U
-from siteglass.functions.rows import explode_rows
+from siteglass.functions.rows import explode_rows, fence
 from siteglass.functions.text import Sql, each, keep, let, some
 from siteglass.operators import jsonld
 
@@ -155,13 +155,14 @@ def with_page_facts(pages: DataFrame, as_of: dt.datetime) -> DataFrame:
     recent = (
         f"unix_timestamp({as_of_sql}) - unix_timestamp(_modified) <= {YEAR_SECONDS} AND _modified <= {as_of_sql}"
     )
-    return _add(
+    df = _add(
         df,
         {
             "has_date_consistency": f"CASE WHEN _published IS NOT NULL AND _modified IS NOT NULL "
             f"THEN _modified >= _published AND {recent} ELSE coalesce(ld.has_date_modified AND {recent}, false) END"
         },
-    ).drop("_published", "_modified")
+    )
+    return fence(df.drop("_published", "_modified"))
 
 
 def page_facts(facts: DataFrame) -> DataFrame:

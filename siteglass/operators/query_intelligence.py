@@ -116,7 +116,7 @@ def topic_gap(items: DataFrame, own_titles: DataFrame, own_domain: str | None =
     )
     rivals = items if own_domain is None else items.where(F.expr(f"domain <> {X.lit(own_domain)}"))
     topics = explode_rows(rivals, f"slice({tokens}, 1, 3)", "topic", "query", "domain")
-    covered = topics.distinct().groupBy("query", "topic").agg(F.count("*").alias("covered")).where("covered >= 2")
+    covered = cut_lineage(topics.distinct().groupBy("query", "topic").agg(F.count("*").alias("covered")).where("covered >= 2"))
     wanted = covered.selectExpr("lower(topic) AS needle").distinct()
     held = contained_in(wanted, own_titles.selectExpr("lower(title) AS hay").where("hay <> ''").distinct()).select("needle").distinct()
     joined = covered.withColumn("needle", F.lower("topic")).join(held.withColumn("_held", F.lit(True)), "needle", "left")

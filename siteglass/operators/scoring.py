@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siteglass.functions import text as X
-from siteglass.functions.rows import explode_rows
+from siteglass.functions.rows import explode_rows, fence
 from siteglass.functions.text import Sql, some
 
 # Check ids and weights.
@@ -231,13 +231,14 @@ def with_scores(facts: DataFrame, version: str = "1.0.0") -> DataFrame:
             "breakdown": F.expr(f"CASE WHEN http_status <> 0 THEN {breakdown_array(version)} ELSE {nothing} END"),
         }
     )
-    return df.withColumns(
+    df = df.withColumns(
         {
             "seo_score": F.expr(f"cast({SCORE} AS int)"),
             "geo_score": F.expr("aggregate(breakdown, 0, (acc, d) -> acc + d.score)"),
             "scoring_version": F.lit(SCORING[version][0]),
         }
     )
+    return fence(df)
 
 
 def seo_checks(scored: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Members are never gathered into a list of unbounded length. A header holds the
 count, the first page and an id. Up to `LISTED` pages the id is the digest of
-the sorted page list; above that it is built from order-free sums that every
+the sorted page list; above that it is built from order-free hashes that every
 task can contribute to.
 """
 
@@ -18,6 +18,7 @@ from siteglass.functions import text as X
 from siteglass.functions import urls as U
 from siteglass.functions.rows import explode_rows
 from siteglass.operators import crawl_graph as G
+from siteglass.session import cut_lineage
 
 LISTED = 1000
 
@@ -225,17 +226,16 @@ def all_members(pages: DataFrame, edges: DataFrame, sitemap: DataFrame, duplicat
 def site_issues(members: DataFrame, listed: int = LISTED) -> DataFrame:
     """One header per issue: id, site, type, severity, group_key, affected, first_url."""
     issue = ["site", "type", "severity", "group_key"]
-    distinct = members.distinct()
-    number = "cast(conv(substring(sha1(url), {}, 12), 16, 10) AS decimal(38,0))"
+    distinct = cut_lineage(members.distinct())
     headers = distinct.groupBy(*issue).agg(
         F.count("*").alias("affected"), F.min("url").alias("first_url"),
-        F.sum(F.expr(number.format(1))).alias("_s1"), F.sum(F.expr(number.format(13))).alias("_s2"),
+        F.bit_xor(F.xxhash64("url")).alias("_x1"), F.bit_xor(F.xxhash64(F.lit(1), "url")).alias("_x2"),
     )
     small = headers.where(f"affected <= {listed}").select(*issue)
     lists = distinct.join(small, issue).groupBy(*issue).agg(
         F.expr("array_join(array_sort(collect_list(url)), ',')").alias("_list")
     )
-    payload = "coalesce(_list, concat_ws('/', affected, _s1, _s2))"
+    payload = "coalesce(_list, concat_ws('/', affected, _x1, _x2))"
     checks = ", ".join(f"'{k}', '{v}'" for k, v in HREFLANG_CHECKS.items())
     hreflang = f"concat('hreflang:', element_at(map({checks}), type), ':', substring({payload}, 1, 64))"
     issue_id = f"CASE WHEN type LIKE 'hreflang-%' THEN {hreflang} ELSE {K.short_id('type', payload)} END"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from siteglass.functions import html as H
 from siteglass.functions import text as X
 from siteglass.functions import urls as U
-from siteglass.functions.rows import explode_rows
+from siteglass.functions.rows import explode_rows, fence
 from siteglass.functions.text import BLANK, Sql, each, keep, let, some
 from siteglass.operators import jsonld as J
 from siteglass.operators import page_extract as P
@@ -233,12 +233,13 @@ def with_schema_facts(pages: DataFrame, as_of: dt.datetime) -> DataFrame:
         f"'raw_key', concat({p}.value, '|', coalesce({p}.currency, '')))",
     )
     df = df.withColumn("priced", F.expr(keyed)).withColumn("prices", F.expr(distinct)).drop("priced")
-    return df.withColumns(
+    df = df.withColumns(
         {
             "h1": F.expr("try_element_at(filter(doc_headings, h -> h.level = 1), 1).text"),
             "steps": F.expr(_steps()),
         }
     )
+    return fence(df)
 
 
 def page_contacts(facts: DataFrame) -> DataFrame:
@@ -299,12 +300,13 @@ def with_page_type(facts: DataFrame) -> DataFrame:
     )
     best = f"array_min(filter(array({candidates}), x -> x.c IS NOT NULL))"
     df = facts.withColumn("_best", F.expr(best))
-    return df.withColumns(
+    df = df.withColumns(
         {
             "page_type": F.expr("coalesce(_best.t, 'unknown')"),
             "type_confidence": F.expr("CASE _best.c WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END"),
         }
-    ).drop("_best")
+    )
+    return fence(df.drop("_best"))
 
 
 def page_type(typed: DataFrame) -> DataFrame:

@@ -18,8 +18,10 @@ def contained_in(needles: DataFrame, hays: DataFrame) -> DataFrame:
     keyed = needles.where("needle <> ''").selectExpr("needle", f"least(length(needle), {ANCHOR}) AS q").withColumn(
         "gram", F.expr("right(needle, q)")
     )
+    # At most ANCHOR anchor lengths exist; texts are only indexed by those in use.
+    lengths = ", ".join(str(r.q) for r in keyed.select("q").distinct().collect()) or "0"
     pieces = (
-        f"array_distinct(flatten(transform(filter(sequence(1, {ANCHOR}), q -> q <= length(hay)), "
+        f"array_distinct(flatten(transform(filter(array({lengths}), q -> q > 0 AND q <= length(hay)), "
         "q -> transform(sequence(1, length(hay) - q + 1), i -> named_struct('q', q, 'gram', substring(hay, i, q))))))"
     )
     indexed = hays.where("hay <> ''").select("hay", F.explode(F.expr(pieces)).alias("p")).select("hay", "p.q", "p.gram")
