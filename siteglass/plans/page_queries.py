@@ -230,12 +230,12 @@ def _(t):
     return S.weak_dimension_advice(scored(t)).select("url", "advice_id")
 
 
-# Pages without any text between the tags stand in for failed fetches: here, every page seen twice under one URL path.
+# Pages whose address ends in .html stand in for failed fetches.
 @query("fetch_failures", """
 SELECT url, 'fetch' AS check_id, 'fail' AS level, 100 AS weight, 0 AS seo_score, 0 AS geo_score
-FROM pages WHERE html NOT LIKE '%<footer%'""")
+FROM pages WHERE url LIKE '%.html'""")
 def _(t):
-    pages = snapshot(t).withColumn("http_status", F.when(F.contains("html", F.lit("<footer")), 200).otherwise(0))
+    pages = snapshot(t).withColumn("http_status", F.expr("CASE WHEN url LIKE '%.html' THEN 0 ELSE 200 END"))
     return S.fetch_failures(S.with_scores(P.with_page_facts(pages, AS_OF)))
 
 
