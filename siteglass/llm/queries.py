@@ -60,3 +60,12 @@ def op10_length_histogram(docs, spark, folder):
     from siteglass.llm.length_histogram import length_histogram
 
     return length_histogram(docs, _vocabulary("byte_bpe_50k.json"))
+
+
+@query("op8_prefix_bpe")
+def op8_prefix_bpe(docs, spark, folder):
+    import public_tokenizers
+
+    from siteglass.llm.bpe_prefix import encode_and_decode
+
+    return encode_and_decode(docs, _vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)

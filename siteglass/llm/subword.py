@@ -22,50 +22,26 @@ CALL_PIECES = 4096
 MARK = "\x01"
 
 
-class PieceEncoder:
-    """Ids of whole texts by the tokenizers file at `path`, special tokens not added."""
+class PieceCache:
+    """Ids of whole texts put together from the ids of their pieces; subclasses say how a piece is encoded."""
 
-    def __init__(self, path: str, cached: int = CACHED_PIECES):
-        from tokenizers import Tokenizer
+    spaced: bool  # whether a piece carries the space before it
+    special: list[str] = []  # strings that are encoded across pieces
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+    def __init__(self, cached: int = CACHED_PIECES):
         self.cached = cached
         self.cache: dict[str, bytes] = {"": b""}
-        # A byte-level vocabulary puts the space before a word into the word's piece; the other kind drops it.
-        self.spaced = self._ids("a b") != self._ids("a") + self._ids("b")
-        self.mark = "\n" if self.spaced else f" {MARK} "
-        (self.mark_id,) = self._ids(self.mark)
-        self.joinable = re.compile(r" ?\S+").fullmatch if self.spaced else (lambda piece: MARK not in piece)
 
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def ids_of(self, text: str) -> list[int]:
+        raise NotImplementedError
 
-    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece; pieces are put together with a mark that keeps them apart, to save calls."""
-        out: dict[str, bytes] = {}
-        joined = [p for p in pieces if p and self.joinable(p)]
-        for at in range(0, len(joined), CALL_PIECES):
-            part = joined[at : at + CALL_PIECES]
-            ids = np.array(
-                self.tokenizer.encode_batch_fast([self.mark.join(part) + self.mark], add_special_tokens=False)[0].ids, "<u4"
-            )
-            ends = np.flatnonzero(ids == self.mark_id)
-            if len(ends) != len(part):
-                raise ValueError("the mark between pieces did not keep them apart")
-            begin = 0
-            for piece, end in zip(part, ends.tolist()):
-                out[piece] = ids[begin:end].tobytes()
-                begin = end + 1
-        for piece in pieces:
-            if piece not in out:
-                out[piece] = np.array(self._ids(piece), "<u4").tobytes()
-        return [out[p] for p in pieces]
+    def ids_of_pieces(self, pieces: list[str]) -> list[bytes]:
+        return [np.array(self.ids_of(piece), "<u4").tobytes() for piece in pieces]
 
     def _lookup(self, pieces: list[str]) -> list[bytes]:
         found = [self.cache.get(p) for p in pieces]
         missing = [i for i, ids in enumerate(found) if ids is None]
-        for i, ids in zip(missing, self._encode_pieces([pieces[i] for i in missing])):
+        for i, ids in zip(missing, self.ids_of_pieces([pieces[i] for i in missing])):
             found[i] = ids
         for i in missing[: max(0, self.cached - len(self.cache))]:
             self.cache[pieces[i]] = found[i]
@@ -98,11 +74,49 @@ class PieceEncoder:
         if len(whole):
             parts = [ids[bounds[i] : bounds[i + 1]] for i in range(len(texts))]
             for i in whole.tolist():
-                parts[i] = np.array(self._ids(texts[i].as_py()), "<u4")
+                parts[i] = np.array(self.ids_of(texts[i].as_py()), "<u4")
             ids, bounds = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
         return ids, bounds
 
 
+class PieceEncoder(PieceCache):
+    """Ids by the tokenizers file at `path`, special tokens not added."""
+
+    def __init__(self, path: str, cached: int = CACHED_PIECES):
+        from tokenizers import Tokenizer
+
+        super().__init__(cached)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # A byte-level vocabulary puts the space before a word into the word's piece; the other kind drops it.
+        self.spaced = self.ids_of("a b") != self.ids_of("a") + self.ids_of("b")
+        self.mark = "\n" if self.spaced else f" {MARK} "
+        (self.mark_id,) = self.ids_of(self.mark)
+        self.joinable = re.compile(r" ?\S+").fullmatch if self.spaced else (lambda piece: MARK not in piece)
+
+    def ids_of(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def ids_of_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Pieces are put together with a mark that keeps them apart, to save calls."""
+        out: dict[str, bytes] = {}
+        joined = [p for p in pieces if p and self.joinable(p)]
+        for at in range(0, len(joined), CALL_PIECES):
+            part = joined[at : at + CALL_PIECES]
+            text = self.mark.join(part) + self.mark
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(ids == self.mark_id)
+            if len(ends) != len(part):
+                raise ValueError("the mark between pieces did not keep them apart")
+            begin = 0
+            for piece, end in zip(part, ends.tolist()):
+                out[piece] = ids[begin:end].tobytes()
+                begin = end + 1
+        alone = [p for p in pieces if p not in out]
+        out.update(zip(alone, super().ids_of_pieces(alone)))
+        return [out[p] for p in pieces]
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> PieceEncoder:
     """One encoder per file in each Python worker."""
