@@ -67,6 +67,30 @@ def attach(rows: DataFrame, keyed: DataFrame, key: str, count: str, spread: Colu
     return joined.select(*rows.columns, *[found[c].alias(c) for c in values])
 
 
+BITS = 22
+BUCKET_BITS = 15  # bits of one bitmap value
+
+
+def _slot(code: Column) -> tuple[Column, Column]:
+    slot = code.bitwiseAND((1 << BITS) - 1)
+    return F.shiftright(slot, BUCKET_BITS), slot.bitwiseAND((1 << BUCKET_BITS) - 1)
+
+
+def bitmap_of(codes: DataFrame, code: str) -> DataFrame:
+    """A bitmap of 2^22 bits (512 KB, whatever the input's size) with the bits of the hash codes in column `code`."""
+    bucket, place = _slot(F.col(code))
+    return codes.groupBy(bucket.alias("_bucket")).agg(F.bitmap_construct_agg(place).alias("_bits"))
+
+
+def with_bit(rows: DataFrame, code: str, bitmap: DataFrame, name: str) -> DataFrame:
+    """`rows` with a boolean column: false only if no hash code in the bitmap equals this row's (null: false)."""
+    bucket, place = _slot(F.col(code))
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = F.call_function("shiftright", byte, place.bitwiseAND(7).cast("int")).bitwiseAND(1)
+    marked = rows.withColumn("_bucket", bucket).join(F.broadcast(bitmap), "_bucket", "left")
+    return marked.withColumn(name, F.coalesce(bit == 1, F.lit(False))).drop("_bucket", "_bits")
+
+
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 6 << 20) -> Iterator[pa.RecordBatch]:
     """`batch` in runs of rows with about `most_bytes` of text each (one row at least)."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)

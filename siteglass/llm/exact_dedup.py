@@ -15,26 +15,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siteglass.llm.common import attach, stored, whole_text
+from siteglass.llm.common import attach, bitmap_of, stored, whole_text, with_bit
 
-BITS = 22
-BUCKET_BITS = 15  # bits of one bitmap value
 PREFIX = 64
 
 
 def _in_shared_class(rows: DataFrame, code: Column, survived: Column, name: str) -> DataFrame:
     """`rows` with a boolean column `name`: the row survived so far and shares `code` with another such row, or may."""
-    slot = F.col("_code").bitwiseAND((1 << BITS) - 1)
     coded = rows.withColumn("_code", F.when(survived, code))
     shared = coded.where("_code IS NOT NULL").groupBy("_code").agg(F.count("*").alias("n")).where("n > 1")
-    bitmap = shared.groupBy(F.shiftright(slot, BUCKET_BITS).alias("_bucket")).agg(
-        F.bitmap_construct_agg(slot.bitwiseAND((1 << BUCKET_BITS) - 1)).alias("_bits")
-    )
-    place = slot.bitwiseAND((1 << BUCKET_BITS) - 1)
-    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    bit = F.expr("1").cast("int").bitwiseAND(F.call_function("shiftright", byte, place.bitwiseAND(7).cast("int")))
-    marked = coded.withColumn("_bucket", F.shiftright(slot, BUCKET_BITS)).join(F.broadcast(bitmap), "_bucket", "left")
-    return marked.withColumn(name, F.coalesce(bit == 1, F.lit(False))).drop("_code", "_bucket", "_bits")
+    return with_bit(coded, "_code", bitmap_of(shared, "_code"), name).drop("_code")
 
 
 def with_content_hash(docs: DataFrame) -> DataFrame:

@@ -69,3 +69,17 @@ def op8_prefix_bpe(docs, spark, folder):
     from siteglass.llm.bpe_prefix import encode_and_decode
 
     return encode_and_decode(docs, _vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op1_repair_shards")
+def op1_repair_shards(docs, spark, folder):
+    from siteglass.llm.repair import encode_to_files
+
+    return encode_to_files(docs, _vocabulary("word_bpe_49k.json"), end_id=1)
+
+
+@query("op3_trie_jaccard")
+def op3_trie_jaccard(docs, spark, folder):
+    from siteglass.llm.trie_join import similarity_components
+
+    return similarity_components(docs, words=4, percent=85).select("doc_id", "n_shingles", "component_id")
