@@ -35,9 +35,10 @@ def shared_folder(spark, name: str) -> str:
 
 def stored(df: DataFrame, name: str = "step") -> DataFrame:
     """Write `df` to the shared folder and go on from the written table: nothing is computed twice or lost with an executor."""
-    path = shared_folder(df.sparkSession, name)
+    spark = df.sparkSession
+    path = shared_folder(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def whole_text(name: str = "text") -> Column:
@@ -101,3 +102,15 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 6 << 20) -> Ite
         stop = max(start + 1, int(np.searchsorted(ends, base + most_bytes, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
+
+
+def sample_documents(docs: DataFrame, ids: DataFrame, most: int, chars: int) -> list[tuple[int, str]]:
+    """(doc_id, text) of at most `most` documents named by column doc_id of `ids`, for fitting a model on the driver.
+
+    The choice is by hash of doc_id, so it depends on no order; ids are chosen first, and only the first `chars`
+    characters of the chosen texts are fetched. Both bounds are documented parameters of the models.
+    """
+    chosen = ids.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    texts = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max(F.substring(whole_text(), 1, chars)).alias("text"))
+    rows = texts.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()
+    return [(r.doc_id, r.text) for r in rows]

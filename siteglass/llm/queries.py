@@ -83,3 +83,31 @@ def op3_trie_jaccard(docs, spark, folder):
     from siteglass.llm.trie_join import similarity_components
 
     return similarity_components(docs, words=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op5_zstd_quality")
+def op5_zstd_quality(docs, spark, folder):
+    from siteglass.llm.zstd_quality import quality_scores
+
+    return quality_scores(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+
+
+@query("op7_license_index")
+def op7_license_index(docs, spark, folder):
+    from siteglass.llm.license_index import license_labels
+
+    return license_labels(docs)
+
+
+@query("op9_rp_forest", table="embeddings")
+def op9_rp_forest(vectors, spark, folder):
+    from siteglass.llm.rp_forest import nearest
+
+    return nearest(vectors, every=20, k=20)
+
+
+@query("op4_crf_secrets")
+def op4_crf_secrets(docs, spark, folder):
+    from siteglass.llm.crf_secrets import scan_secrets
+
+    return scan_secrets(docs)
