@@ -60,7 +60,7 @@ def gram_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     with np.errstate(over="ignore"):
         grams = np.zeros(max(0, len(each) - words + 1), np.uint64)
         for i in range(words):
-            grams = _mixed(grams + np.uint64(i + 1)) + each[i : len(each) - words + 1 + i]
+            grams = _mixed(grams + np.uint64(i + 1)) + each[i : i + len(grams)]
         grams = _mixed(grams)
         out = []
         for a, b in zip(bounds.tolist(), bounds[1:].tolist()):
