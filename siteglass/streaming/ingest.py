@@ -1,8 +1,10 @@
 """Structured Streaming jobs over the evidence and observation logs.
 
 Each job has a batch twin in `operators.observations`; tests hold both to the
-same result. Sinks write per micro-batch and overwrite their own output on a
-replay, so a batch that is run again after a failure changes nothing.
+same result. Sinks write per micro-batch under the batch id and overwrite their
+own output on a replay. The change feed compares a batch with the state as it was
+before that batch, whatever has been written since, so a batch that is run again
+after a failure, at any point, changes nothing.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from siteglass.operators import observations as O
 from siteglass.session import cut_lineage
 
 BUCKETS = 64
+#: Batches after which the change feed writes its whole state anew; between them only a batch's own latest rows are added.
+COMPACT_EVERY = 50
 
 
 def evidence_ingest(evidence: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -69,15 +73,29 @@ def batch_changes(batch: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataF
     return O.diff_observations(pairs), late
 
 
+def state_before(spark: SparkSession, state_path: str, batch_id: int, like: DataFrame) -> DataFrame:
+    """Latest row of each identity over the batches before `batch_id`: the last whole state and the batches added since."""
+    whole = _read_or_empty(spark, f"{state_path}/whole", like.withColumn("batch_id", F.lit(0))).where(F.col("batch_id") < batch_id)
+    since = whole.agg(F.max("batch_id")).first()[0]
+    added = _read_or_empty(spark, f"{state_path}/added", like.withColumn("batch_id", F.lit(0))).where(F.col("batch_id") < batch_id)
+    if since is not None:
+        whole, added = whole.where(F.col("batch_id") == since), added.where(F.col("batch_id") > since)
+    rows = whole.unionByName(added).drop("batch_id").dropDuplicates(["identity_key", "write_seq"])
+    return O.latest_per_identity(rows)
+
+
 def change_feed_step(batch: DataFrame, batch_id: int, state_path: str, feed_path: str, late_path: str) -> None:
-    """One micro-batch: append changes and late rows under the batch id, then move the stored latest rows forward."""
+    """One micro-batch: write its changes, late rows and latest rows under the batch id; the state before it is not touched."""
     spark = batch.sparkSession
     rows = cut_lineage(batch)
-    stored = _read_or_empty(spark, state_path, _bucketed(rows))
+    keyed = _bucketed(rows)
+    stored = state_before(spark, state_path, batch_id, keyed)
     changes, late = batch_changes(rows, stored)
     changes.write.mode("overwrite").parquet(f"{feed_path}/batch_id={batch_id}")
     late.write.mode("overwrite").parquet(f"{late_path}/batch_id={batch_id}")
-    upsert_latest(rows, state_path)
+    O.latest_per_identity(keyed.dropDuplicates(["identity_key", "write_seq"])).write.mode("overwrite").parquet(f"{state_path}/added/batch_id={batch_id}")
+    if batch_id and batch_id % COMPACT_EVERY == 0:
+        state_before(spark, state_path, batch_id, keyed).write.mode("overwrite").parquet(f"{state_path}/whole/batch_id={batch_id - 1}")
 
 
 def split_step(batch: DataFrame, batch_id: int, good_path: str, quarantine_path: str) -> None:

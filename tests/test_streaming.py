@@ -58,6 +58,28 @@ def test_replayed_batch_changes_nothing(spark, log, tmp_path):
     assert spark.read.parquet(path).count() == once
 
 
+def test_replayed_change_feed_changes_nothing(spark, log, tmp_path, monkeypatch):
+    """Each batch is run again: at once, after a crash before the state, and after later batches; with whole states in between."""
+    monkeypatch.setattr(S, "COMPACT_EVERY", 2)
+    state, feed, late = (str(tmp_path / n) for n in ("state", "feed", "late"))
+    total = log.count()
+    slices = [log.where(f"write_seq >= {i * total // 4} AND write_seq < {(i + 1) * total // 4}") for i in range(4)]
+    # The third slice also holds rows that are late against the second.
+    slices[2] = slices[2].union(slices[0].withColumn("observed_at", F.expr("observed_at - INTERVAL 400 DAYS")).withColumn("write_seq", F.col("write_seq") + 10**6))
+
+    def written(path, batch):
+        return sorted(map(str, spark.read.parquet(f"{path}/batch_id={batch}").drop("bucket").collect()))
+
+    first = {}
+    for batch, rows in enumerate(slices):
+        S.change_feed_step(rows, batch, state, feed, late)
+        first[batch] = written(feed, batch), written(late, batch)
+    assert all(first[batch][0] for batch in (1, 2, 3)) and first[2][1]
+    for batch in (3, 1, 2):
+        S.change_feed_step(slices[batch], batch, state, feed, late)
+        assert (written(feed, batch), written(late, batch)) == first[batch]
+
+
 def test_validation_split(spark, log, tmp_path):
     stream = stream_of(spark, log, tmp_path / "in")
     good, bad = str(tmp_path / "good"), str(tmp_path / "bad")
