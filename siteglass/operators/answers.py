@@ -203,12 +203,11 @@ def citation_diff(previous: DataFrame, current: DataFrame) -> DataFrame:
     )
 
 
-def citation_report(previous: DataFrame, current: DataFrame, own_domain: str, history_limit: int = 300) -> DataFrame:
+def citation_report(previous: DataFrame, current: DataFrame, own_domain: str) -> DataFrame:
     """Long report: domain ranking, gaps, competitor mentions, and changes against the latest stored records."""
-    recent = previous.orderBy(F.desc("observed_at"), "query", "model").limit(history_limit)
     ranking = domain_ranking(current)
     part = lambda df, name, key, value: df.selectExpr(f"'{name}' AS section", f"{key} AS item", f"{value} AS records")
-    changes = citation_diff(recent, current).groupBy("mention").agg(F.count("*").alias("n"))
+    changes = citation_diff(previous, current).groupBy("mention").agg(F.count("*").alias("n"))
     return (
         part(ranking, "domain", "domain", "records")
         .unionByName(part(citation_gap(ranking, own_domain), "gap", "domain", "records"))

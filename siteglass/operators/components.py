@@ -3,7 +3,8 @@
 Each round links every node's larger neighbours to its smallest neighbour, then
 its smaller neighbours likewise, so the number of rounds grows with the
 logarithm of the longest chain. A node's neighbours are only ever reduced with
-`min`, never collected, and each round is written to the checkpoint folder.
+`min`, never collected, the rows of a hub are dealt over many tasks, and each
+round is written to the checkpoint folder.
 """
 
 from __future__ import annotations
@@ -11,13 +12,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siteglass.functions.rows import attach_by_key
 from siteglass.session import cut_lineage
 
 
 def _star(pairs: DataFrame) -> DataFrame:
     """(u, v) to (v, smallest neighbour of u, or u itself)."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m"))
-    return pairs.join(least, "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"), F.col("u").alias("center"))
+    least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
+    return attach_by_key(pairs, least, ["u"], "degree", F.col("v")).select(F.col("v").alias("u"), F.least("m", "u").alias("v"), F.col("u").alias("center"))
 
 
 def _round(edges: DataFrame) -> DataFrame:

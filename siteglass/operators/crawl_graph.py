@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siteglass.functions import html as H
 from siteglass.functions import text as X
 from siteglass.functions import urls as U
-from siteglass.functions.rows import explode_rows
+from siteglass.functions.rows import explode_rows, held_by_key
 from siteglass.functions.text import each, keep, let
 from siteglass.operators.page_extract import SKIPPED_LINK
 from siteglass.session import cut_lineage
@@ -43,7 +45,7 @@ def crawl_scope(links: DataFrame, include_subdomains: bool = False) -> DataFrame
 
 def edge_closure(edges: DataFrame, pages: DataFrame) -> DataFrame:
     """Edges whose target is a crawled page."""
-    return edges.join(pages.selectExpr("url AS target").distinct(), "target", "left_semi").select("source", "target")
+    return held_by_key(edges.select("source", "target"), "target", pages.selectExpr("url AS target"), F.col("source"))
 
 
 def inlink_counts(edges: DataFrame, pages: DataFrame) -> DataFrame:
@@ -61,20 +63,21 @@ def graph_nodes(edges: DataFrame, pages: DataFrame, sitemap: DataFrame) -> DataF
     return nodes.selectExpr("url", "inlinks", "coalesce(listed, false) AND inlinks = 0 AS orphan")
 
 
-def click_depth(edges: DataFrame, start: DataFrame, sitemap: DataFrame | None = None, max_depth: int = 3) -> DataFrame:
-    """Breadth-first depth from the start pages; unreached sitemap pages join at the maximum depth."""
+def click_depth(edges: DataFrame, start: DataFrame, sitemap: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:
+    """Breadth-first depth from the start pages, to the end or to `max_depth`; unreached sitemap pages join at the largest depth."""
     seen = cut_lineage(start.select("url").distinct().withColumn("depth", F.lit(0)))
     frontier = seen.select("url")
-    for depth in range(1, max_depth + 1):
+    largest = max_depth or 0
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         reached = edges.join(frontier.withColumnRenamed("url", "source"), "source", "left_semi")
         fresh = cut_lineage(reached.selectExpr("target AS url").distinct().join(seen, "url", "left_anti"))
         if fresh.isEmpty():
             break
         seen = seen.union(fresh.withColumn("depth", F.lit(depth)))
-        frontier = fresh
+        frontier, largest = fresh, max(largest, depth)
     if sitemap is not None:
         late = sitemap.select("url").distinct().join(seen, "url", "left_anti")
-        seen = seen.union(late.withColumn("depth", F.lit(max_depth)))
+        seen = seen.union(late.withColumn("depth", F.lit(largest)))
     return seen
 
 
@@ -105,7 +108,7 @@ def site_link_shortlist(homes: DataFrame, max_links: int = 12) -> DataFrame:
             lambda p: f"CASE WHEN {X.matches(p, FIRST_PATHS)} THEN 0 WHEN {p} = '/' THEN 1 ELSE 2 END",
         )
 
-    ranked = f"array_sort(transform(slice({own}, 1, {3 * max_links}), (u, i) -> named_struct('path_class', {path_class('u')}, 'i', i, 'target', u)))"
+    ranked = f"array_sort(transform({own}, (u, i) -> named_struct('path_class', {path_class('u')}, 'i', i, 'target', u)))"
     df = homes.selectExpr("url", f"slice({ranked}, 1, {max_links}) AS picked")
     rows = explode_rows(df.withColumn("half", F.expr("ceil(size(picked) / 2)")), "picked", "p", "url", "half", position="rank")
     return rows.selectExpr(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from siteglass.functions import html as H
 from siteglass.functions import text as X
 from siteglass.functions import urls as U
-from siteglass.functions.rows import explode_rows
+from siteglass.functions.rows import attach_by_key, explode_rows, held_by_key
 from siteglass.functions.text import each, keep, let
 from siteglass.operators.site_issues import MEMBER, SEVERITY, with_site
 
@@ -76,7 +76,7 @@ def missing_reciprocal(entries: DataFrame) -> DataFrame:
     declared = entries.selectExpr("page_url AS target").distinct()
     back = entries.selectExpr("page_url AS target", "target AS page_url").distinct()
     return _members(
-        pairs.join(declared, "target", "left_semi").join(back, ["target", "page_url"], "left_anti"), "hreflang-missing-reciprocal"
+        held_by_key(pairs, "target", declared, F.col("page_url")).join(back, ["target", "page_url"], "left_anti"), "hreflang-missing-reciprocal"
     )
 
 
@@ -87,19 +87,21 @@ def invalid_language(entries: DataFrame) -> DataFrame:
 def broken_target(entries: DataFrame, pages: DataFrame) -> DataFrame:
     """Entries pointing at failing, noindex or redirecting pages."""
     bad = pages.where("http_status >= 400 OR noindex OR size(redirect_chain) > 0").selectExpr("url AS target").distinct()
-    return _members(entries.join(bad, "target"), "hreflang-broken-target")
+    return _members(held_by_key(entries, "target", bad, F.col("page_url")), "hreflang-broken-target")
 
 
 def target_health(entries: DataFrame, pages: DataFrame) -> DataFrame:
     """The first failing reason per entry: status, noindex, redirected."""
     reason = "CASE WHEN http_status >= 400 THEN 'status' WHEN noindex THEN 'noindex' WHEN size(redirect_chain) > 0 THEN 'redirected' END"
     bad = pages.selectExpr("url AS target", f"{reason} AS reason").where("reason IS NOT NULL")
-    return entries.join(bad, "target").select("page_url", "lang", "target", "reason")
+    known = entries.groupBy("target").agg(F.count("*").alias("_rows")).join(bad, "target")
+    found = attach_by_key(entries, known, ["target"], "_rows", F.col("page_url")).where("reason IS NOT NULL")
+    return found.select("page_url", "lang", "target", "reason")
 
 
 def canonical_conflict(entries: DataFrame, pages: DataFrame) -> DataFrame:
     other = pages.where("canonical <> '' AND canonical <> url").selectExpr("url AS target").distinct()
-    return _members(entries.join(other, "target"), "hreflang-canonical-conflict")
+    return _members(held_by_key(entries, "target", other, F.col("page_url")), "hreflang-canonical-conflict")
 
 
 def missing_default(entries: DataFrame) -> DataFrame:

@@ -6,12 +6,14 @@ admission checks are then row-local after one join on the site.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteglass.functions import text as X
 from siteglass.functions import urls as U
-from siteglass.functions.rows import explode_rows
+from siteglass.functions.rows import attach_by_key, explode_rows
 from siteglass.functions.text import Sql, each, keep, let
 from siteglass.session import cut_lineage
 
@@ -116,7 +118,8 @@ def _best_rule(pool: Sql, path: Sql) -> Sql:
 def robots_admission(urls: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
     """Whether each (site, path) may be fetched by `agent`, and the rule that decides."""
     rules = robots.select("site", F.expr(_pool("coalesce(groups, array())", X.lit(agent))).alias("_pool"))
-    df = urls.join(rules, "site", "left").withColumn("_best", F.expr(_best_rule("_pool", "coalesce(nullif(path, ''), '/')")))
+    known = urls.groupBy("site").agg(F.count("*").alias("_urls")).join(rules, "site")
+    df = attach_by_key(urls, known, ["site"], "_urls", F.col("path")).drop("_urls").withColumn("_best", F.expr(_best_rule("_pool", "coalesce(nullif(path, ''), '/')")))
     rule = "CASE WHEN _best IS NOT NULL THEN concat(CASE WHEN _best.allow THEN 'Allow: ' ELSE 'Disallow: ' END, _best.path) END"
     return df.withColumns(
         {"allowed": F.expr("coalesce(_best.allow, true)"), "rule": F.expr(rule)}
@@ -179,15 +182,15 @@ def sitemap_urls(files: DataFrame) -> DataFrame:
     return rows.selectExpr("url AS file", "kind", "location AS url")
 
 
-def sitemap_closure(sites: DataFrame, declared: DataFrame, files: DataFrame, max_depth: int = 3) -> DataFrame:
-    """(site, url): distinct page URLs reachable from a site's sitemaps, following indexes to `max_depth`."""
+def sitemap_closure(sites: DataFrame, declared: DataFrame, files: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(site, url): distinct page URLs reachable from a site's sitemaps, following indexes to the end or to `max_depth`."""
     default = sites.join(declared.select("site").distinct(), "site", "left_anti").selectExpr(
         "site", f"concat({X.replaced('site', '/$', '')}, '/sitemap.xml') AS url"
     )
     frontier = cut_lineage(declared.select("site", "url").union(default).distinct())
     listed = sitemap_urls(files)
     visited, leaves = frontier, None
-    for depth in range(max_depth + 1):
+    for depth in count():
         found = frontier.withColumnRenamed("url", "file").join(listed, "file")
         pages = found.where("kind = 'urlset'").select("site", "url")
         leaves = pages if leaves is None else leaves.union(pages)

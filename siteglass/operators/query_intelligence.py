@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteglass.functions import text as X
 from siteglass.functions import urls as U
-from siteglass.functions.rows import explode_rows
+from siteglass.functions.rows import attach_by_key, explode_rows
 from siteglass.functions.text import each
 from siteglass.operators.answers import USABLE
 from siteglass.operators.components import connected_components
@@ -38,10 +38,10 @@ QUESTION_START = "^(怎么|如何|为什么|是什么|什么是)"
 QUESTION_WORDS = [
     "怎么", "如何", "为什么", "是什么", "什么是", "成因", "原理", "哪个", "哪款", "哪种", "哪里", "在哪", "多少", "多久", "多快", "多远",
 ]
-STOP_WORDS = (
-    "的 了 是 在 和 与 或 及 如何 怎么 为什么 是什么 什么是 哪个 哪款 一个 可以 能够 应该 需要 "
-    "best the a an of to for and or vs 对比 比较 区别 买 价格 优惠 官网 登录"
-).split()
+STOP_WORDS = [
+    "的", "了", "是", "在", "和", "与", "或", "及", "如何", "怎么", "为什么", "是什么", "什么是", "哪个", "哪款", "一个", "可以", "能够", "应该", "需要",
+    "best", "the", "a", "an", "of", "to", "for", "and", "or", "vs", "对比", "比较", "区别", "买", "价格", "优惠", "官网", "登录",
+]
 TITLE_BREAK = f"[{X.BLANK}\\-—·,，。：:、|｜()（）\\[\\]【】{{}}\"'`]+"
 
 
@@ -108,14 +108,14 @@ def query_competitors(items: DataFrame, records: DataFrame, own_domain: str | No
     )
 
 
-def topic_gap(items: DataFrame, own_titles: DataFrame, own_domain: str | None = None) -> DataFrame:
-    """Title topics of at least two competitor domains that the own titles cover not at all or only in part, per query."""
+def topic_gap(items: DataFrame, own_titles: DataFrame, own_domain: str | None = None, first: int | None = None) -> DataFrame:
+    """Title topics (with `first`, only so many of a title) of at least two competitor domains that the own titles cover not at all or only in part, per query."""
     tokens = X.keep(
         each(f"split(title, {X.lit(TITLE_BREAK)}, -1)", lambda w: f"trim({w})"),
         lambda w: f"length({w}) BETWEEN 2 AND 12 AND lower({w}) NOT IN ({X.lits(STOP_WORDS)})",
     )
     rivals = items if own_domain is None else items.where(F.expr(f"domain <> {X.lit(own_domain)}"))
-    topics = explode_rows(rivals, f"slice({tokens}, 1, 3)", "topic", "query", "domain")
+    topics = explode_rows(rivals, tokens if first is None else f"slice({tokens}, 1, {first})", "topic", "query", "domain")
     covered = cut_lineage(topics.distinct().groupBy("query", "topic").agg(F.count("*").alias("covered")).where("covered >= 2"))
     wanted = covered.selectExpr("lower(topic) AS needle").distinct()
     held = contained_in(wanted, own_titles.selectExpr("lower(title) AS hay").where("hay <> ''").distinct()).select("needle").distinct()
@@ -127,18 +127,18 @@ def topic_gap(items: DataFrame, own_titles: DataFrame, own_domain: str | None =
 def query_overlap(results: DataFrame, min_jaccard: float = 0.3, min_shared: int = 2) -> DataFrame:
     """Pairs of queries by shared result URLs: Jaccard at least `min_jaccard`, or at least `min_shared` URLs.
 
-    results: query, url. Queries need a common URL among all but their most frequent ones to qualify, so those
-    are left out of the index; candidates are counted exactly from rows, never from lists.
+    results: query, url. A pair that qualifies shares at least least(min_shared, ceil(min_jaccard * n)) URLs of either
+    query, so all but that many less one of a query's most frequent URLs index it; candidates are counted exactly
+    from rows, never from lists.
     """
     links = cut_lineage(results.select("query", "url").where("url <> ''").distinct())
     sizes = cut_lineage(links.groupBy("query").agg(F.count("*").alias("n")))
-    index = links
-    if min_shared == 2 and min_jaccard > 0.25:
-        # With four or more URLs, every qualifying pair shares a URL that is not the most frequent one of either query.
-        frequency = links.groupBy("url").agg(F.count("*").alias("df"))
-        ranked = links.join(frequency, "url").groupBy("query").agg(F.max(F.struct("df", "url")).alias("top"))
-        dropped = ranked.join(sizes.where("n >= 4"), "query").selectExpr("query", "top.url AS url")
-        index = links.join(dropped, ["query", "url"], "left_anti")
+    frequency = links.groupBy("url").agg(F.count("*").alias("df"))
+    ranked = attach_by_key(links, frequency, ["url"], "df", F.col("query")).join(sizes, "query").withColumn(
+        "_n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("df"), "url"))
+    )
+    needed = f"greatest(1, least({min_shared}, cast(ceil(n * {min_jaccard}D - 1e-9D) AS int)))"
+    index = ranked.where(f"df > 1 AND _n >= {needed}").select("query", "url")
     pairs = paired_by_key(index, "url", "query").selectExpr(
         "least(a_query, b_query) AS a", "greatest(a_query, b_query) AS b"
     ).distinct()
@@ -164,8 +164,6 @@ def query_clusters(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def cluster_urls(members: DataFrame, results: DataFrame, k: int = 20) -> DataFrame:
     """Up to k URLs shared within each cluster, most shared first."""
-    from pyspark.sql import Window
-
     rows = results.select("query", "url").distinct().join(members, "query").groupBy("cluster", "url").agg(F.count("*").alias("queries"))
     order = Window.partitionBy("cluster").orderBy(F.desc("queries"), "url")
     return rows.where("queries > 1").withColumn("rank", F.row_number().over(order)).where(f"rank <= {k}")

@@ -1,26 +1,23 @@
 """Site issues in long form: one row per affected page, plus one header row per issue.
 
 Members are never gathered into a list of unbounded length. A header holds the
-count, the first page and an id. Up to `LISTED` pages the id is the digest of
-the sorted page list; above that it is built from order-free hashes that every
-task can contribute to.
+count, the first page and an id, built from order-free sums of digests that
+every task can contribute to.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteglass.functions import keys as K
 from siteglass.functions import text as X
 from siteglass.functions import urls as U
-from siteglass.functions.rows import explode_rows
+from siteglass.functions.rows import attach_by_key, explode_rows, held_by_key
 from siteglass.operators import crawl_graph as G
-from siteglass.session import cut_lineage
 
-LISTED = 1000
 
 # Thresholds.
 DEEP_PAGE = 2
@@ -82,8 +79,9 @@ def duplicates(pages: DataFrame) -> DataFrame:
     keyed = explode_rows(indexable(pages), f"array({fields})", "f", "site", "url").selectExpr(
         "site", "f.type AS type", "f.value AS group_key", "url"
     )
-    shared = keyed.groupBy("site", "type", "group_key").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    return keyed.join(shared, ["site", "type", "group_key"]).withColumn("severity", F.lit("medium")).select(*MEMBER)
+    shared = keyed.groupBy("site", "type", "group_key").agg(F.count("*").alias("_n")).where("_n > 1")
+    found = attach_by_key(keyed, shared, ["site", "type", "group_key"], "_n", F.col("url")).where("_n IS NOT NULL")
+    return found.withColumn("severity", F.lit("medium")).select(*MEMBER)
 
 
 def missing_fields(pages: DataFrame) -> DataFrame:
@@ -143,7 +141,7 @@ def broken_internal_links(pages: DataFrame, edges: DataFrame) -> DataFrame:
     """Reachable pages linking to a crawled page that answers 4xx or 5xx; grouped by the broken target."""
     sources = pages.where("blocked_reason IS NULL AND http_status BETWEEN 200 AND 299").selectExpr("site", "url AS source")
     broken = pages.where("http_status >= 400").selectExpr("url AS target").distinct()
-    hits = edges.select("source", "target").join(broken, "target").join(sources, "source")
+    hits = held_by_key(edges.select("source", "target"), "target", broken, F.col("source")).join(sources, "source")
     return _members(hits.selectExpr("site", "target", "source AS url").distinct(), "broken-internal-link", "target")
 
 
@@ -172,8 +170,9 @@ def common_weak_dimensions(pages: DataFrame) -> DataFrame:
 
 def weak_dimensions(pages: DataFrame) -> DataFrame:
     weak = _weak(pages)
-    common = common_weak_dimensions(pages).where(f"pages >= {WEAK_MIN_PAGES}").select("site", "dimension")
-    return _members(weak.join(common, ["site", "dimension"]), "weak-geo-dimension", "dimension")
+    common = weak.groupBy("site", "dimension").agg(F.count("*").alias("pages")).where(f"pages >= {WEAK_MIN_PAGES}")
+    found = attach_by_key(weak, common, ["site", "dimension"], "pages", F.col("url")).where("pages IS NOT NULL")
+    return _members(found, "weak-geo-dimension", "dimension")
 
 
 def duplicate_content(groups: DataFrame) -> DataFrame:
@@ -192,8 +191,10 @@ def geo_distribution(pages: DataFrame) -> DataFrame:
 
 
 def lowest_scoring(pages: DataFrame, k: int = 10) -> DataFrame:
-    """The k lowest pages of the snapshot."""
-    return indexable(pages).select("url", "geo_score").orderBy("geo_score", "url").limit(k)
+    """The k lowest pages of each site."""
+    order = Window.partitionBy("site").orderBy("geo_score", "url")
+    ranked = indexable(pages).select("site", "url", "geo_score").withColumn("_n", F.row_number().over(order))
+    return ranked.where(f"_n <= {k}").select("url", "geo_score")
 
 
 def schema_coverage(pages: DataFrame) -> DataFrame:
@@ -223,23 +224,22 @@ def all_members(pages: DataFrame, edges: DataFrame, sitemap: DataFrame, duplicat
     return issue_members(frames)
 
 
-def site_issues(members: DataFrame, listed: int = LISTED) -> DataFrame:
-    """One header per issue: id, site, type, severity, group_key, affected, first_url."""
+def site_issues(members: DataFrame) -> DataFrame:
+    """One header per issue: id, site, type, severity, group_key, affected, first_url.
+
+    The id is a digest of the number of pages and of two sums over their URLs' digests, so it depends on no order,
+    gathers no list and is formed alike for issues of any size.
+    """
     issue = ["site", "type", "severity", "group_key"]
-    distinct = cut_lineage(members.distinct())
-    headers = distinct.groupBy(*issue).agg(
-        F.count("*").alias("affected"), F.min("url").alias("first_url"),
-        F.bit_xor(F.xxhash64("url")).alias("_x1"), F.bit_xor(F.xxhash64(F.lit(1), "url")).alias("_x2"),
-    )
-    small = headers.where(f"affected <= {listed}").select(*issue)
-    lists = distinct.join(small, issue).groupBy(*issue).agg(
-        F.expr("array_join(array_sort(collect_list(url)), ',')").alias("_list")
+    part = lambda at: f"sum(cast(conv(substring(sha1(url), {at}, 8), 16, 10) AS bigint))"
+    headers = members.distinct().groupBy(*issue).agg(
+        F.count("*").alias("affected"), F.min("url").alias("first_url"), F.expr(part(1)).alias("_s1"), F.expr(part(9)).alias("_s2")
     )
-    payload = "coalesce(_list, concat_ws('/', affected, _x1, _x2))"
+    payload = "concat_ws('/', affected, _s1, _s2)"
     checks = ", ".join(f"'{k}', '{v}'" for k, v in HREFLANG_CHECKS.items())
-    hreflang = f"concat('hreflang:', element_at(map({checks}), type), ':', substring({payload}, 1, 64))"
+    hreflang = f"concat('hreflang:', element_at(map({checks}), type), ':', substring(sha1({payload}), 1, 8))"
     issue_id = f"CASE WHEN type LIKE 'hreflang-%' THEN {hreflang} ELSE {K.short_id('type', payload)} END"
-    return headers.join(lists, issue, "left").selectExpr(f"{issue_id} AS issue_id", *issue, "affected", "first_url")
+    return headers.selectExpr(f"{issue_id} AS issue_id", *issue, "affected", "first_url")
 
 
 def ordered(issues: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Each needle is anchored on its last few characters; each hay text is indexed by
 all its pieces of that length, so candidates come from an equality join and are
-then checked in full. Short needles use shorter anchors of their own.
+then checked in full. The index holds the text's number, not the text, which is
+joined back for candidates only. Short needles use shorter anchors of their own.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siteglass.session import cut_lineage
+
 ANCHOR = 8
 
 
@@ -24,7 +27,7 @@ def contained_in(needles: DataFrame, hays: DataFrame) -> DataFrame:
         f"array_distinct(flatten(transform(filter(array({lengths}), q -> q > 0 AND q <= length(hay)), "
         "q -> transform(sequence(1, length(hay) - q + 1), i -> named_struct('q', q, 'gram', substring(hay, i, q))))))"
     )
-    indexed = hays.where("hay <> ''").select("hay", F.explode(F.expr(pieces)).alias("p")).select("hay", "p.q", "p.gram")
-    # Only pieces some needle asks for travel to the join.
-    wanted = keyed.select("q", "gram").distinct()
-    return indexed.join(wanted, ["q", "gram"], "left_semi").join(keyed, ["q", "gram"]).where("contains(hay, needle)").select("needle", "hay")
+    numbered = cut_lineage(hays.where("hay <> ''").select(F.monotonically_increasing_id().alias("hay_no"), "hay"))
+    indexed = numbered.select("hay_no", F.explode(F.expr(pieces)).alias("p")).select("hay_no", "p.q", "p.gram")
+    candidates = indexed.join(keyed, ["q", "gram"]).select("needle", "hay_no")
+    return candidates.join(numbered, "hay_no").where("contains(hay, needle)").select("needle", "hay")

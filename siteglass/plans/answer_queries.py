@@ -154,11 +154,12 @@ def _(t):
     )
 
 
-@query("citation_report", ANSWERS + """, cur AS (SELECT domain, count(*) AS records FROM domain WHERE conv_id % 2 = 0 GROUP BY domain)
+@query("citation_report", DIFF + """, cur AS (SELECT domain, count(*) AS records FROM domain WHERE conv_id % 2 = 0 GROUP BY domain)
 SELECT 'domain' AS section, domain AS item, records FROM cur UNION ALL SELECT 'gap', domain, records FROM cur WHERE records >= 2 AND domain <> 'example.com'
-UNION ALL SELECT 'competitor', competitor, count(*) FROM (SELECT unnest(comps) AS competitor FROM rec WHERE full_answer AND conv_id % 2 = 0) GROUP BY competitor""")
+UNION ALL SELECT 'competitor', competitor, count(*) FROM (SELECT unnest(comps) AS competitor FROM rec WHERE full_answer AND conv_id % 2 = 0) GROUP BY competitor
+UNION ALL SELECT 'change', coalesce(mention, 'no history'), count(*) FROM changed GROUP BY 2""")
 def _(t):
-    return A.citation_report(*halves(t), "https://www.example.com").where("section <> 'change'")
+    return A.citation_report(*halves(t), "https://www.example.com")
 
 
 @query("model_drift", ANSWERS + "SELECT conv_id, turn, served_model <> model AS drift FROM a")
@@ -211,14 +212,14 @@ def _(t):
 
 
 GAP = ITEMS + """, tok AS (SELECT query, domain, list_filter(regexp_split_to_array(title, '[\\s\\-·,.:|()]+'), lambda w: length(w) BETWEEN 2 AND 12) AS w FROM item),
-topic AS (SELECT query, topic, count(DISTINCT domain) AS covered FROM (SELECT query, domain, unnest(w[1:3]) AS topic FROM tok) GROUP BY query, topic HAVING count(DISTINCT domain) >= 2),
-own AS (SELECT DISTINCT lower(p_name) AS title FROM part WHERE p_size > 45), gap AS (
+topic AS (SELECT query, topic, count(DISTINCT domain) AS covered FROM (SELECT query, domain, unnest(w) AS topic FROM tok) GROUP BY query, topic HAVING count(DISTINCT domain) >= 2),
+own AS (SELECT DISTINCT lower(p_name) AS title FROM part), gap AS (
   SELECT query, topic, covered, CASE WHEN NOT EXISTS (SELECT 1 FROM own WHERE contains(title, lower(topic))) THEN 'none' WHEN covered >= 3 THEN 'partial' ELSE 'full' END AS own_coverage FROM topic)
 """
 
 
 def gaps(t: Tables):
-    return M.topic_gap(items(t), t.part.where("p_size > 45").selectExpr("p_name AS title"))
+    return M.topic_gap(items(t), t.part.selectExpr("p_name AS title"))
 
 
 @query("topic_gap", (GAP + "SELECT query, topic, covered, own_coverage FROM gap WHERE own_coverage <> 'full'").replace(",.:", ",:"))

@@ -152,11 +152,11 @@ def opp_sql(kind: str, target: str, impact: str, scope: str, source: str) -> str
 
 
 def low_pages(t: Tables):
-    return P.weak_citeability(I.lowest_scoring(pages(t)))
+    return P.weak_citeability(I.indexable(pages(t)))
 
 
 @query("weak_citeability", SITE + opp_sql(
-    "weak-citeability", "url", "CASE WHEN geo < 40 THEN 'high' ELSE 'medium' END", "1", "(SELECT url, geo FROM ok ORDER BY geo, url LIMIT 10) WHERE geo < 60"))
+    "weak-citeability", "url", "CASE WHEN geo < 40 THEN 'high' ELSE 'medium' END", "1", "ok WHERE geo < 60"))
 def _(t):
     return low_pages(t).select(*HEAD)
 
@@ -220,7 +220,7 @@ def generated(t: Tables):
     return P.supported([low_pages(t), issue_rows(t)])
 
 
-MERGED = SITE + f""", gen AS ({opp_sql("weak-citeability", "url", "CASE WHEN geo < 40 THEN 'high' ELSE 'medium' END", "1", "(SELECT url, geo FROM ok ORDER BY geo, url LIMIT 10) WHERE geo < 60")} UNION ALL {ISSUES}),
+MERGED = SITE + f""", gen AS ({opp_sql("weak-citeability", "url", "CASE WHEN geo < 40 THEN 'high' ELSE 'medium' END", "1", "ok WHERE geo < 60")} UNION ALL {ISSUES}),
 top AS (SELECT target, min(CASE impact WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END) AS i, max(affected_scope) AS affected_scope, count(*) AS merged, first(type ORDER BY CASE impact WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, affected_scope DESC, type) AS type FROM gen GROUP BY target)
 """
 
@@ -232,7 +232,7 @@ def _(t):
 
 @query("merged_evidence", MERGED + """
 SELECT DISTINCT first_url AS target, u.signal, u.value FROM (SELECT first_url, unnest([{'signal': type, 'value': group_key}, {'signal': 'pages', 'value': CAST(affected AS VARCHAR)}]) AS u FROM issue WHERE severity = 'high')
-UNION SELECT url, 'geoScore', CAST(geo AS VARCHAR) FROM (SELECT url, geo FROM ok ORDER BY geo, url LIMIT 10) WHERE geo < 60""")
+UNION SELECT url, 'geoScore', CAST(geo AS VARCHAR) FROM ok WHERE geo < 60""")
 def _(t):
     return P.merged_evidence(generated(t))
 

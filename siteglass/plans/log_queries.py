@@ -158,9 +158,9 @@ def _(t):
 
 
 @query("observation_history", LOG + """
-SELECT id FROM k WHERE type = 'rank' AND status = 'OBSERVED' AND ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-20' ORDER BY ts DESC, event_id DESC LIMIT 500""")
+SELECT id FROM k WHERE type = 'rank' AND status = 'OBSERVED' AND ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-20'""")
 def _(t):
-    return O.history(log(t), type="rank", status="OBSERVED", since="2024-01-05", until="2024-01-20", limit=500).select("id")
+    return O.history(log(t), type="rank", status="OBSERVED", since="2024-01-05", until="2024-01-20").select("id")
 
 
 @query("rank_freshness", LOG + "SELECT id, ts + INTERVAL 24 HOUR AS valid_until FROM k WHERE type = 'rank'")

@@ -250,7 +250,7 @@ SELECT engine, CASE WHEN redirect_wrapper AND o_orderkey % 2 = 0 THEN 'https://r
   CASE WHEN redirect_wrapper AND o_orderkey % 2 = 0 THEN 'example.org' ELSE domain END AS domain, redirect_wrapper AND o_orderkey % 2 = 1 AS redirect_wrapper FROM clean""")
 def _(t):
     redirects = t.orders.where("o_orderkey % 2 = 0").selectExpr(f"{RAW_URL} AS url", "concat('https://real', o_orderkey % 9, '.example.org/x') AS final_url")
-    return K.resolved_domains(clean(t), redirects, first=1000).select("engine", "url", "domain", "redirect_wrapper")
+    return K.resolved_domains(clean(t), redirects).select("engine", "url", "domain", "redirect_wrapper")
 
 
 @query("engine_selection", CLEAN + "SELECT engine, count(*) AS items FROM clean WHERE engine IN ('baidu', 'sogou') GROUP BY engine")

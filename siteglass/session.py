@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,7 +46,7 @@ def local_session(cores: int | str = 8, app: str = "siteglass", memory: str = "1
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Directory for reliable checkpoints: the cluster's own, else a local one in local mode only."""
+    """Directory for reliable checkpoints: spark.checkpoint.dir; in local mode also SITEGLASS_CHECKPOINTS or a temporary folder."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
@@ -54,7 +55,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not configured:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-        configured = tempfile.mkdtemp(prefix="spark-")
+        configured = os.environ.get("SITEGLASS_CHECKPOINTS") or tempfile.mkdtemp(prefix="spark-")
     context.setCheckpointDir(configured)
     return configured
 
