@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteglass.functions import text as X
@@ -35,8 +35,10 @@ def compare_serp(items: DataFrame, subjects: DataFrame) -> DataFrame:
 def compare_ai(records: DataFrame, subjects: DataFrame) -> DataFrame:
     """Mentions, citations, mean citation position and models; own mentions come from the flag, others from the list."""
     usable = records.where(USABLE)
-    flagged = usable.where("mentioned").groupBy("model").agg(F.count("*").alias("mentions")).withColumn("is_own", F.lit(True))
-    own = flagged.join(subjects.where("is_own"), "is_own").select("domain", "model", "mentions")
+    # There is one own domain; its name becomes a constant instead of a join on a constant.
+    own_row = subjects.where("is_own").select("domain").first()
+    flagged = usable.where("mentioned").groupBy("model").agg(F.count("*").alias("mentions"))
+    own = flagged.select(F.lit(own_row.domain if own_row else None).cast("string").alias("domain"), "model", "mentions")
     named = explode_rows(
         usable, f"array_distinct(transform(competitors_mentioned, c -> {U.registrable_domain('lower(trim(c))')}))", "domain", "model"
     ).join(subjects.where("NOT is_own"), "domain").groupBy("domain", "model").agg(F.count("*").alias("mentions"))
@@ -112,27 +114,38 @@ def dimension_values(
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
-def _with_own(values: DataFrame) -> DataFrame:
-    own = values.where("is_own").selectExpr("dimension", "value AS own")
-    rivals = values.where("NOT is_own").select("dimension", "domain", "value")
-    better = "CASE WHEN dimension = 'serp' THEN value < own ELSE value > own END"
-    worse = "CASE WHEN dimension = 'serp' THEN value > own ELSE value < own END"
-    return rivals.join(own, "dimension").withColumns({"better": F.expr(better), "worse": F.expr(worse)})
+ABSENT = "(own IS NULL OR (dimension = 'geo' AND own = 0))"
+# From the own value and the rivals' least and largest: one pass over the values, no join.
+VERDICT = (
+    "CASE WHEN dimension IN ('ai', 'schema') AND coalesce(own, 0) = 0 AND _nonzero = 0 THEN 'incomparable' "
+    f"WHEN {ABSENT} AND _known = 0 THEN 'incomparable' WHEN {ABSENT} THEN 'behind' WHEN _known = 0 THEN 'ahead' "
+    "WHEN CASE WHEN dimension = 'serp' THEN _least < own ELSE _most > own END THEN 'behind' "
+    "WHEN CASE WHEN dimension = 'serp' THEN _most > own ELSE _least < own END THEN 'ahead' ELSE 'parity' END"
+)
+OWN_VALUE = "max(CASE WHEN is_own THEN value END)"
+RIVALS = {
+    "_known": "count(CASE WHEN NOT is_own THEN value END)",
+    "_nonzero": "count_if(NOT is_own AND value <> 0)",
+    "_least": "min(CASE WHEN NOT is_own THEN value END)",
+    "_most": "max(CASE WHEN NOT is_own THEN value END)",
+}
 
 
 def gap_verdict(values: DataFrame) -> DataFrame:
-    """behind, ahead, parity or incomparable per dimension."""
-    per_dimension = _with_own(values).groupBy("dimension").agg(
-        F.max("own").alias("own"), F.count("value").alias("_known"), F.expr("count_if(value <> 0)").alias("_nonzero"),
-        F.expr("coalesce(bool_or(better), false)").alias("_better"), F.expr("coalesce(bool_or(worse), false)").alias("_worse"),
-    )
-    absent = "(own IS NULL OR (dimension = 'geo' AND own = 0))"
-    verdict = (
-        "CASE WHEN dimension IN ('ai', 'schema') AND coalesce(own, 0) = 0 AND _nonzero = 0 THEN 'incomparable' "
-        f"WHEN {absent} AND _known = 0 THEN 'incomparable' WHEN {absent} THEN 'behind' WHEN _known = 0 THEN 'ahead' "
-        "WHEN _better THEN 'behind' WHEN _worse THEN 'ahead' ELSE 'parity' END"
+    """behind, ahead, parity or incomparable per dimension that has an own row and rivals."""
+    per_dimension = values.groupBy("dimension").agg(
+        F.expr(OWN_VALUE).alias("own"), F.expr("count_if(is_own) > 0 AND count_if(NOT is_own) > 0").alias("_both"),
+        *[F.expr(sql).alias(name) for name, sql in RIVALS.items()],
     )
-    return per_dimension.selectExpr("dimension", "own", f"{verdict} AS verdict")
+    return per_dimension.where("_both").selectExpr("dimension", "own", f"{VERDICT} AS verdict")
+
+
+def _beside_dimension(values: DataFrame) -> DataFrame:
+    """Each value with its dimension's own value and verdict; a dimension has one row per compared domain."""
+    same = Window.partitionBy("dimension")
+    found = values.withColumns({"own": F.expr(OWN_VALUE).over(same), **{name: F.expr(sql).over(same) for name, sql in RIVALS.items()}})
+    both = F.expr("count_if(is_own)").over(same) * F.expr("count_if(NOT is_own)").over(same) > 0
+    return found.withColumn("verdict", F.when(both, F.expr(VERDICT))).drop(*RIVALS)
 
 
 def gap_list(values: DataFrame) -> DataFrame:
@@ -140,9 +153,9 @@ def gap_list(values: DataFrame) -> DataFrame:
 
     A domain that is not ranked at all has no measurable rank gap and yields no row, as a rank needs both sides.
     """
-    behind = gap_verdict(values).where("verdict = 'behind'").select("dimension")
-    leading = _with_own(values).join(behind, "dimension").where(
-        "value IS NOT NULL AND (better OR (own IS NULL AND dimension <> 'serp'))"
+    better = "CASE WHEN dimension = 'serp' THEN value < own ELSE value > own END"
+    leading = _beside_dimension(values).where("verdict = 'behind' AND NOT is_own").where(
+        f"value IS NOT NULL AND ({better} OR (own IS NULL AND dimension <> 'serp'))"
     )
     gap = F.expr("CASE WHEN own IS NULL THEN 999D ELSE abs(value - own) END")
     summed = leading.withColumn("_gap", gap).groupBy("dimension").agg(
@@ -155,6 +168,6 @@ def gap_list(values: DataFrame) -> DataFrame:
 
 def competitor_report(values: DataFrame) -> DataFrame:
     """All values with the verdict of their dimension."""
-    return values.join(gap_verdict(values).select("dimension", "verdict"), "dimension", "left").selectExpr(
+    return _beside_dimension(values).selectExpr(
         "dimension", "domain", "is_own", "value", "CASE WHEN value IS NULL THEN 'unavailable' ELSE 'available' END AS status", "verdict"
     )

@@ -196,13 +196,35 @@ def test_broken_links_count_a_source_once(spark):
     assert [(r.url, r.group_key) for r in rows] == [("https://s.test/a", "https://s.test/gone")]
 
 
-def test_large_issues_keep_all_members_and_a_stable_id(spark):
+def test_issues_of_any_size_keep_all_members_and_an_order_free_id(spark):
     rows = [("s", "missing-h1", "medium", "", f"https://s/{i}") for i in range(50)]
     df = spark.createDataFrame(rows, "site string, type string, severity string, group_key string, url string")
     small = SI.site_issues(df).first()
-    big = SI.site_issues(df.repartition(7), listed=10).first()
-    again = SI.site_issues(df.orderBy(F.desc("url")), listed=10).first()
-    assert small.affected == big.affected == 50 and big.issue_id == again.issue_id and small.issue_id != big.issue_id
+    dealt = SI.site_issues(df.repartition(7)).first()
+    again = SI.site_issues(df.union(df).orderBy(F.desc("url"))).first()
+    assert small.affected == 50 and small == dealt == again
+    other = SI.site_issues(df.where("url <> 'https://s/7'").union(df.limit(1).withColumn("url", F.lit("https://s/x")))).first()
+    assert other.affected == 50 and other.issue_id != small.issue_id
+
+
+def test_hot_keys_are_dealt_over_tasks(spark):
+    """Four fifths of the rows hold one key: no task of the join gets more than its share, and the result is the plain join's."""
+    from siteglass.functions.rows import attach_by_key, held_by_key
+
+    rows = spark.range(40_000).selectExpr("CASE WHEN id % 5 < 4 THEN 7 WHEN id % 25 = 4 THEN NULL ELSE id END AS k", "id")
+    counts = rows.where("k IS NOT NULL").groupBy("k").agg(F.count("*").alias("n")).where("k % 2 = 1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = attach_by_key(rows, counts, ["k"], "n", F.col("id"))
+        sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 40_000 and max(sizes) < 2 * 40_000 / 8
+        assert found.exceptAll(rows.join(counts, "k", "left")).count() == 0
+        held = held_by_key(rows, "k", counts.select("k"), F.col("id"))
+        assert held.exceptAll(rows.join(counts, "k", "left_semi")).count() == 0 and held.count() == rows.join(counts, "k", "left_semi").count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_inlinks_and_orphans(spark):
@@ -215,8 +237,10 @@ def test_inlinks_and_orphans(spark):
 def test_click_depth_ends_on_cycles_and_adds_sitemap_pages(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "e")], "source string, target string")
     start, extra = spark.createDataFrame([("a",)], "url string"), spark.createDataFrame([("z",), ("c",)], "url string")
-    got = {r.url: r.depth for r in G.click_depth(edges, start, extra).collect()}
+    got = {r.url: r.depth for r in G.click_depth(edges, start, extra, max_depth=3).collect()}
     assert got == {"a": 0, "b": 1, "c": 2, "d": 3, "z": 3}
+    got = {r.url: r.depth for r in G.click_depth(edges, start, extra).collect()}
+    assert got == {"a": 0, "b": 1, "c": 2, "d": 3, "e": 4, "z": 4}
 
 
 def test_components_of_a_long_chain_and_a_star(spark):
