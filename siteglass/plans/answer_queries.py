@@ -186,29 +186,47 @@ def _(t):
     return M.query_intent(t.documents.selectExpr("text AS query")).selectExpr("md5(query) AS query_md5", "intent", "confidence")
 
 
-@query("related_questions", ITEMS + """
-SELECT query, title AS question, count(DISTINCT engine || position) AS sources FROM item WHERE contains(title, '?') GROUP BY query, title""")
+# Result pages and answers of the same queries: some suppliers' hosts are also cited, and every answer asks a question.
+BOTH = ANSWERS + ", " + ITEMS.removeprefix("WITH ") + """, shown AS (
+  SELECT query, domain, count(*) AS pages, count(DISTINCT position) AS positions, CAST(min(position) AS INTEGER) AS best_position FROM (
+    SELECT query, engine, CASE WHEN domain LIKE 's%0.example%' THEN 'ref0.org' ELSE domain END AS domain, min(position) AS position FROM item GROUP BY 1, 2, 3) GROUP BY query, domain
+), named AS (SELECT CAST(conv_id % 40 AS VARCHAR) AS query, domain, count(*) AS answers FROM domain GROUP BY 1, 2
+), rival AS (
+  SELECT query, domain, coalesce(pages, 0) AS pages, coalesce(positions, 0) AS positions, best_position, coalesce(answers, 0) AS answers,
+    CASE WHEN pages IS NOT NULL AND answers IS NOT NULL THEN 'both' WHEN pages IS NOT NULL THEN 'serp' ELSE 'ai' END AS source FROM shown FULL JOIN named USING (query, domain)
+), asked AS (
+  SELECT query, title AS question, 'serp' || engine || position AS source FROM item WHERE contains(title, '?')
+  UNION SELECT CAST(conv_id % 40 AS VARCHAR), '如何选择 ' || model, 'ai' || model FROM rec WHERE full_answer
+)
+"""
+
+
+def shown(t: Tables):
+    return items(t).withColumn("domain", F.expr("CASE WHEN domain LIKE 's%0.example%' THEN 'ref0.org' ELSE domain END"))
+
+
+def told(t: Tables):
+    return cited(t).withColumns({"query": F.expr("cast(conv_id % 40 AS string)"), "answer": F.expr("concat(answer, '。如何选择 ', model, '？')")})
+
+
+@query("related_questions", BOTH + "SELECT query, question, count(*) AS sources FROM asked GROUP BY query, question")
 def _(t):
-    return M.related_questions(items(t), cited(t).where("false")).select("query", "question", "sources")
+    return M.related_questions(shown(t), told(t)).select("query", "question", "sources")
 
 
-@query("answer_questions", ANSWERS + r"""
-, s AS (SELECT query, model, trim(unnest(regexp_split_to_array(answer, '[。！!？?;\n]')), e' \t\n\r') AS question FROM rec WHERE full_answer)
-SELECT query, question, count(DISTINCT model) AS sources FROM s WHERE length(question) BETWEEN 4 AND 199 AND regexp_matches(question, '怎么|如何|为什么') GROUP BY query, question""")
+@query("answer_questions", BOTH + "SELECT query, question, count(*) AS sources FROM asked GROUP BY query, question HAVING min(source) LIKE 'ai%'")
 def _(t):
-    return M.related_questions(items(t).where("false"), cited(t)).select("query", "question", "sources")
+    return M.related_questions(shown(t), told(t)).where("first_source LIKE 'ai:%'").select("query", "question", "sources")
 
 
-@query("query_competitors", ITEMS + """, f AS (SELECT query, engine, domain, min(position) AS position FROM item GROUP BY 1, 2, 3)
-SELECT query, domain, count(*) AS pages, count(DISTINCT position) AS positions, CAST(min(position) AS INTEGER) AS best_position, CAST(0 AS BIGINT) AS answers, 'serp' AS source
-FROM f GROUP BY query, domain""")
+@query("query_competitors", BOTH + "SELECT query, domain, pages, positions, best_position, answers, source FROM rival")
 def _(t):
-    return M.query_competitors(items(t), cited(t).where("false"))
+    return M.query_competitors(shown(t), told(t))
 
 
-@query("answer_competitors", ANSWERS + "SELECT query, domain, count(*) AS answers, 'ai' AS source FROM domain WHERE domain <> 'example.com' GROUP BY query, domain")
+@query("answer_competitors", BOTH + "SELECT query, domain, answers, source FROM rival WHERE domain <> 'example.com' AND answers > 0")
 def _(t):
-    return M.query_competitors(items(t).where("false"), cited(t), "https://www.example.com").select("query", "domain", "answers", "source")
+    return M.query_competitors(shown(t), told(t), "https://www.example.com").where("answers > 0").select("query", "domain", "answers", "source")
 
 
 GAP = ITEMS + """, tok AS (SELECT query, domain, list_filter(regexp_split_to_array(title, '[\\s\\-·,.:|()]+'), lambda w: length(w) BETWEEN 2 AND 12) AS w FROM item),
@@ -262,14 +280,15 @@ def _(t):
     return M.source_availability(base, serp=base, ai=cited(t).where(A.USABLE))
 
 
-@query("query_profile", ITEMS + """, f AS (SELECT query, bool_or(position = 1 AND owned) AS own, bool_or(contains(title, '?')) AS ask, count(DISTINCT CASE WHEN contains(title, '?') THEN title END) AS questions,
-  count(DISTINCT domain) AS competitors FROM item GROUP BY query)
-SELECT query, CASE WHEN own THEN 'navigational' ELSE 'informational' END AS intent, questions, competitors, true AS serp FROM f""")
+@query("query_profile", BOTH + ", " + GAP.removeprefix(ITEMS).strip().removeprefix(",").replace(",.:", ",:") + """, f AS (
+  SELECT query, bool_or(position = 1 AND owned) AS own FROM item GROUP BY query), nq AS (SELECT query, count(DISTINCT question) AS n FROM asked GROUP BY query),
+nc AS (SELECT query, count(*) AS n FROM rival GROUP BY query), ng AS (SELECT query, count(*) AS n FROM gap WHERE own_coverage <> 'full' GROUP BY query)
+SELECT query, CASE WHEN own THEN 'navigational' ELSE 'informational' END AS intent, coalesce(nq.n, 0) AS questions, coalesce(nc.n, 0) AS competitors, coalesce(ng.n, 0) AS topic_gaps,
+  true AS serp, query IN (SELECT query FROM named) AS ai FROM f LEFT JOIN nq USING (query) LEFT JOIN nc USING (query) LEFT JOIN ng USING (query)""")
 def _(t):
-    found = items(t)
-    nothing = cited(t).where("false")
+    found, said = shown(t), told(t)
     profile = M.query_profile(
-        M.query_intent(found, found), M.related_questions(found, nothing), M.query_competitors(found, nothing), gaps(t),
-        M.source_availability(found, serp=found),
+        M.query_intent(found, items(t)), M.related_questions(found, said), M.query_competitors(found, said), gaps(t),
+        M.source_availability(found, serp=found, ai=said.where(A.USABLE)),
     )
-    return profile.select("query", "intent", "questions", "competitors", "serp")
+    return profile.select("query", "intent", "questions", "competitors", "topic_gaps", "serp", "ai")
