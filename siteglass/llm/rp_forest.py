@@ -3,7 +3,8 @@
 The trees are fitted on a bounded sample and kept by every task; every vector is then put into one leaf of each tree.
 A query walks all trees with one priority queue ordered by the largest margin on the way, and visits as many leaves as
 reached the wanted recall against brute force on the sample. Leaves are joined with their visits in blocks of bounded
-size, and the candidates are ranked by their exact inner product in double precision.
+size, and the candidates are ranked by their exact inner product in double precision. The first leaves of each query
+give a score that k others reach; from all further leaves only candidates that reach it too are passed on.
 
 Largest inner product becomes nearest neighbour by one more coordinate that makes all vectors equally long. Equal
 vectors are searched and stored once with the k + 1 smallest ids: the others of them cannot be among any k nearest, as
@@ -31,7 +32,8 @@ TREES = 4
 LEAF_ROWS = 1024
 SAMPLE_BYTES = 16 << 20  # of vectors in double precision that the trees are fitted on
 SAMPLE_QUERIES = 256
-RECALL = 0.96
+RECALL = 0.95
+FIRST_VISITS = 8
 BLOCK_MEMBERS = 4096
 BLOCK_QUERIES = 4096
 SEED = 20240229
@@ -154,6 +156,13 @@ def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     return rows.where(F.size("embedding") == (sizes[0]["size"] if sizes else 0))
 
 
+def _top(near: DataFrame, most: int) -> DataFrame:
+    """The `most` best rows of (query, vec_id, score) for each query, each vec_id once, with their place."""
+    once = near.groupBy("query", "vec_id").agg(F.max("score").alias("score"))
+    ordered = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    return once.withColumn("place", F.row_number().over(ordered)).where(F.col("place") <= most)
+
+
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20, column: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row whose vec_id is divisible by `every`."""
     rows = usable(vectors, column)
@@ -186,25 +195,27 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, column: str = "emb
                 leaf = pa.array(grown.leaf_of(placed), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(leaf), tree), pa.int64()), leaf, *batch.columns], names=["tree", "leaf", "rep", "ids", "embedding"])
 
-    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def visits(batches: Iterator[pa.RecordBatch], begin: int, end: int) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                found = [forest.search(query, forest.visits) for query in _matrix(batch.column("embedding"))]
+                found = [forest.search(query, end)[begin:] for query in _matrix(batch.column("embedding"))]
                 which = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
                 pairs = np.array([p for f in found for p in f], np.int64).reshape(-1, 2)
                 taken = batch.take(which)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), *taken.columns], names=["tree", "leaf", "query", "embedding"])
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), *taken.columns], names=["tree", "leaf", "query", "embedding", "bound"])
 
     def best(block: pa.Table, asked: pa.Table) -> pa.Table:
         out: dict[str, list] = {"query": [], "ids": [], "score": []}
         if block.num_rows and asked.num_rows:
             own, queries = _matrix(block.column("embedding").combine_chunks()), _matrix(asked.column("embedding").combine_chunks())
             reps, names, ids = block.column("rep").to_numpy(), asked.column("query").to_pylist(), block.column("ids").to_pylist()
+            bounds = asked.column("bound").to_numpy()
             for at in range(0, len(queries), 512):
                 products = queries[at : at + 512] @ own.T
                 for i, row in enumerate(products):
                     least = np.partition(row, -(k + 1))[-(k + 1)] if len(row) > k + 1 else -np.inf
+                    least = max(least, bounds[at + i])
                     near = np.flatnonzero(row >= least - 1e-9 * abs(least) if np.isfinite(least) else row == row)
                     exact = np.einsum("j,ij->i", queries[at + i], own[near])
                     order = np.lexsort((reps[near], -exact))[: k + 1]
@@ -216,16 +227,25 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, column: str = "emb
 
     double = "array<double>"
     stored_leaves = reps.select("rep", "ids", "embedding").mapInArrow(members, f"tree long, leaf long, rep long, ids array<long>, embedding {double}")
-    asked_leaves = searched.select("rep", "embedding").mapInArrow(visits, f"tree long, leaf long, query long, embedding {double}")
     blocks = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
     stored_leaves = stored_leaves.withColumn("mb", F.pmod(F.xxhash64("rep"), F.lit(member_blocks)).cast("int")).withColumn("qb", F.explode(blocks(query_blocks)))
-    asked_leaves = asked_leaves.withColumn("qb", F.pmod(F.xxhash64("query"), F.lit(query_blocks)).cast("int")).withColumn("mb", F.explode(blocks(member_blocks)))
     by = ["tree", "leaf", "mb", "qb"]
-    found = stored_leaves.groupBy(*by).cogroup(asked_leaves.groupBy(*by)).applyInArrow(best, "query long, ids array<long>, score double")
 
-    near = found.select("query", F.explode("ids").alias("vec_id"), "score").groupBy("query", "vec_id").agg(F.max("score").alias("score"))
-    ordered = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    top = near.withColumn("place", F.row_number().over(ordered)).where(F.col("place") <= k + 1)
+    def candidates(asked: DataFrame, begin: int, end: int) -> DataFrame:
+        """The k + 1 best (query, vec_id, score, place) of the visits numbered begin to end."""
+        shape = f"tree long, leaf long, query long, embedding {double}, bound double"
+        leaves = asked.select("rep", "embedding", "bound").mapInArrow(lambda batches: visits(batches, begin, end), shape)
+        leaves = leaves.withColumn("qb", F.pmod(F.xxhash64("query"), F.lit(query_blocks)).cast("int")).withColumn("mb", F.explode(blocks(member_blocks)))
+        found = stored_leaves.groupBy(*by).cogroup(leaves.groupBy(*by)).applyInArrow(best, "query long, ids array<long>, score double")
+        return _top(found.select("query", F.explode("ids").alias("vec_id"), "score"), k + 1)
+
+    first = min(forest.visits, FIRST_VISITS)
+    near = stored(candidates(searched.withColumn("bound", F.lit(float("-inf"))), 0, first), "first_near")
+    if first < forest.visits:
+        bounds = near.where(F.col("place") == k + 1).select(F.col("query").alias("rep"), F.col("score").alias("bound"))
+        bounded = searched.join(bounds, "rep", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf"))))
+        near = near.drop("place").union(candidates(bounded, first, forest.visits).drop("place"))
+    top = _top(near.select("query", "vec_id", "score"), k + 1)
     lists = top.groupBy("query").agg(F.collect_list(F.struct("score", "vec_id")).alias("near")).withColumnRenamed("query", "rep")
     lists = stored(lists.join(asked.groupBy("rep").agg(F.count("*").alias("askers")), "rep"), "near")
     answers = attach(asked, lists, "rep", "askers", F.col("query_id")).select("query_id", F.explode("near").alias("n")).select("query_id", "n.*")
