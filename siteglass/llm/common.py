@@ -12,11 +12,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siteglass.functions.rows import attach_by_key
 from siteglass.session import ensure_checkpoint_dir
 
-#: A key with at least 1/HEAVY_SHARE of all rows is heavy, so there are at most HEAVY_SHARE such keys.
-HEAVY_SHARE = 1000
-SALTS = 4096
+FREE_SHUFFLES = "spark.sql.shuffleDependency.fileCleanup.enabled"
 
 
 def importable_by_workers(spark) -> None:
@@ -37,7 +36,12 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
     """Write `df` to the shared folder and go on from the written table: nothing is computed twice or lost with an executor."""
     spark = df.sparkSession
     path = shared_folder(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(FREE_SHUFFLES)
+    spark.conf.set(FREE_SHUFFLES, "true")  # what the written table was made from is not read again
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -47,25 +51,8 @@ def whole_text(name: str = "text") -> Column:
 
 
 def attach(rows: DataFrame, keyed: DataFrame, key: str, count: str, spread: Column) -> DataFrame:
-    """Left join of `rows` with `keyed` (one row per key; `count` is its number of rows) that splits heavy keys.
-
-    The heavy keys, at most HEAVY_SHARE of them, are broadcast; their rows take a salt that matches nothing in the
-    shuffled join, so they are spread by `spread` instead of meeting in one task.
-    """
-    total = keyed.agg(F.sum(count)).first()[0] or 0
-    values = [c for c in keyed.columns if c != key]
-    heavy = keyed.where(F.col(count) >= max(1, total // HEAVY_SHARE)).select(
-        F.col(key).alias("_heavy_key"), F.struct(*values).alias("_heavy")
-    )
-    light = keyed.where(F.col(count) < max(1, total // HEAVY_SHARE)).select(
-        F.col(key).alias("_light_key"), F.lit(0).alias("_light_salt"), F.struct(*values).alias("_light")
-    )
-    salted = rows.join(F.broadcast(heavy), F.col(key) == F.col("_heavy_key"), "left").withColumn(
-        "_salt", F.when(F.col("_heavy_key").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
-    )
-    joined = salted.join(light, (F.col(key) == F.col("_light_key")) & (F.col("_salt") == F.col("_light_salt")), "left")
-    found = F.coalesce("_heavy", "_light")
-    return joined.select(*rows.columns, *[found[c].alias(c) for c in values])
+    """Left join of `rows` with `keyed` (one row per key; `count` is its number of rows) in which no task gets a heavy key."""
+    return attach_by_key(rows, keyed, [key], count, spread)
 
 
 BITS = 22
