@@ -7,12 +7,13 @@ work is cut down first, by counts alone:
 2. Of the first grams of each set (the part that any partner must share some of, plus a tenth of the set) those that no
    other set has among its own are counted; sets with too few shared ones have no partner.
 3. What is left goes into prefix trees. A tree holds the sets that begin with the same gram: the root's branches are the
-   shards. Two global orders are used; large shards are cut into blocks that all get the shard's first set. Walking a
+   shards. Several global orders are used; large shards are cut into blocks that all get the shard's first set. Walking a
    tree shares the overlap found so far among all sets below a node and leaves a subtree when the grams that remain on
    either side cannot reach the threshold.
 4. The links found form components. A link that the orders missed joins two components, and then nearly all grams of
-   both sets occur in other components. Sets for which that holds are joined once more, without gaps: by every gram of
-   the prefix in order of rarity, in all pairs of blocks. So no link is lost.
+   both sets occur in other components. Sets for which that holds are joined once more, without gaps: linked ones share
+   a gram of the prefix in order of rarity, so the components of that index are the shards, joined in all pairs of
+   blocks (each prefix gram is a shard where a component is too large). So no link is lost.
 
 No step gathers a gram's sets, pairs up a group of copies, or sends more than a bounded block of sets to one task.
 """
@@ -34,7 +35,10 @@ from siteglass.operators.components import connected_components
 
 BLOCK_SETS = 256
 BLOCK_GRAMS = 1 << 19
+CLUSTER_SETS = 2048
 STEP = 128
+#: Numbers of the global orders of the first trees, and of further trees for the sets that those leave in doubt.
+FIRST_ORDERS, MORE_ORDERS = range(2), range(2, 10)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -245,6 +249,23 @@ def _blocks(buckets: DataFrame, sets: DataFrame, threshold: Threshold, every_pai
     return loaded.groupBy("bucket", "cell_a", "cell_b").applyInPandas(join, "a long, b long")
 
 
+def _shards(index: DataFrame) -> DataFrame:
+    """(kind, shard, key, label, n): sets to be joined with each other, from the prefix index (gram, key, label, n).
+
+    Linked sets share a prefix gram, so they lie in one component of the graph of sets and prefix grams. A component of
+    bounded size is one shard, and its sets are sent once; in a larger one each prefix gram is a shard.
+    """
+    firsts = index.groupBy("gram").agg(F.min("key").alias("first_key"), F.count("*").alias("holders"))
+    spokes = attach(index, firsts, "gram", "holders", F.col("key")).select(F.col("key").alias("a"), F.col("first_key").alias("b"))
+    clusters = stored(connected_components(spokes, "a", "b").withColumnsRenamed({"node": "key", "component": "cluster"}), "clusters")
+    members = index.select("key", "label", "n").distinct().join(clusters, "key")
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("members")).withColumn("whole", F.col("members") <= CLUSTER_SETS)
+    placed = stored(attach(members, sizes, "cluster", "members", F.col("key")), "members")
+    whole = placed.where("whole").select(F.lit(0).alias("kind"), F.col("cluster").alias("shard"), "key", "label", "n")
+    large = index.join(placed.where("NOT whole").select("key"), "key", "left_semi")
+    return whole.union(large.select(F.lit(1).alias("kind"), F.col("gram").alias("shard"), "key", "label", "n"))
+
+
 def _shared_between_labels(rows: DataFrame, least: Column) -> DataFrame:
     """Keys of `rows` (key, label, n, gram) of which at least `least` grams occur under another label too."""
     grams = rows.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("holders"))
@@ -253,6 +274,18 @@ def _shared_between_labels(rows: DataFrame, least: Column) -> DataFrame:
     return found.groupBy("key", "n").agg(F.count("*").alias("shared")).where(F.col("shared") >= least).select("key")
 
 
+def _apart(sets: DataFrame, threshold: Threshold) -> DataFrame:
+    """The sets (key, label, n, grams) of which so many grams occur under other labels that a link to one of those is possible."""
+    grams = sets.select("key", "label", "n", F.explode("grams").alias("gram"))
+    return stored(sets.join(_shared_between_labels(grams, F.expr(f"(n * {threshold.percent} + 99) div 100")), "key", "left_semi"), "left_sets")
+
+
+def _first_grams(sets: DataFrame, orders: range) -> DataFrame:
+    """(tree, gram, key, label, n): the first gram of each set in several global orders, those of the grams hashed with a number."""
+    firsts = [F.expr(f"array_min(transform(grams, g -> xxhash64(g, {i})))") for i in orders]
+    return sets.select("key", "label", "n", F.posexplode(F.array(*firsts)).alias("tree", "gram"))
+
+
 def _labelled(sets: DataFrame, links: DataFrame) -> DataFrame:
     labels = connected_components(links, "a", "b").withColumnsRenamed({"node": "key", "component": "label"})
     return sets.drop("label").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
@@ -273,23 +306,22 @@ def set_components(rows: DataFrame, docs: DataFrame, words: int, threshold: Thre
     near = with_bit(docs.withColumn("_code", F.xxhash64("_place")), "_code", wanted, "_wanted").where("_wanted")
     near = near.join(alive.select(F.col("rep").alias("_place")), "_place", "left_semi")
     sets = stored(shingled(near, words, threshold, True).select("key", "n", F.col("key").alias("label"), "grams"), "whole_sets")
-
-    # Two global orders: of the hashes, and of the hashes hashed again.
-    first_grams = F.array(F.array_min("grams"), F.array_min(F.transform("grams", lambda g: F.xxhash64(g))))
-    firsts = sets.select("key", "label", "n", F.posexplode(first_grams).alias("tree", "gram"))
-    links = stored(_blocks(firsts, sets, threshold, False), "links")
+    links = stored(_blocks(_first_grams(sets, FIRST_ORDERS), sets, threshold, False), "links")
     labelled = _labelled(sets, links)
     prefix = labelled.select("key", "label", "n", F.explode(F.slice("grams", F.lit(1), threshold.column(True))).alias("gram"))
     some = stored(labelled.join(_shared_between_labels(stored(prefix, "prefix"), threshold.shared()), "key", "left_semi"), "near_sets")
-    grams = some.select("key", "label", "n", F.explode("grams").alias("gram"))
-    left = stored(some.join(_shared_between_labels(grams, F.expr(f"(n * {threshold.percent} + 99) div 100")), "key", "left_semi"), "left_sets")
+    left = _apart(some, threshold)
+    # For the few sets left, further orders, so that families are whole before the join without gaps.
+    links = stored(links.union(_blocks(_first_grams(left, MORE_ORDERS), left, threshold, False)), "more_links")
+    left = _apart(_labelled(left, links), threshold)
     holders = left.select("key", "label", "n", F.explode("grams").alias("gram"))
     counts = stored(holders.groupBy("gram").agg(F.count("*").alias("holders")), "holders")
     ordered = attach(holders, counts, "gram", "holders", F.col("key")).groupBy("key", "label", "n").agg(
         F.array_sort(F.collect_list(F.struct("holders", "gram"))).alias("by_rarity")
     )
     every = ordered.select("key", "label", "n", F.explode(F.slice("by_rarity", F.lit(1), threshold.column(False))).alias("first"))
-    more = _blocks(every.where("first.holders > 1").select("first.gram", "key", "label", "n"), left, threshold, True)
+    index = stored(every.where("first.holders > 1").select("first.gram", "key", "label", "n"), "prefix_index")
+    more = _blocks(_shards(index), left, threshold, True)
     links = stored(links.union(more), "all_links")
     labels = connected_components(links, "a", "b").withColumnsRenamed({"node": "key", "component": "label"})
     return reps, labels

@@ -50,10 +50,11 @@ def test_query_over_its_table(spark, corpus):
     assert sum(a != c for a, _, c in expected) > 50
 
 
-@pytest.mark.parametrize("seed,percent", [(1, 85), (3, 60)])
-def test_random_families(spark, monkeypatch, seed, percent):
-    """Small blocks, chains of near copies, passages that all share, and copies."""
+@pytest.mark.parametrize("seed,percent,cluster", [(1, 85, 2048), (3, 60, 4)])
+def test_random_families(spark, monkeypatch, seed, percent, cluster):
+    """Small blocks, chains of near copies, passages that all share, and copies; also where components are too large."""
     monkeypatch.setattr(trie_join, "BLOCK_SETS", 3)
+    monkeypatch.setattr(trie_join, "CLUSTER_SETS", cluster)
     draw = random.Random(seed)
     word = lambda: draw.choice("abcdefghij") + draw.choice("klmnop")
     passage = [word() for _ in range(12)]
