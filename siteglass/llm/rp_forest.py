@@ -167,13 +167,14 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, column: str = "emb
     """query_id, rank, vec_id, score: the k nearest found for each row whose vec_id is divisible by `every`."""
     rows = usable(vectors, column)
     spark = vectors.sparkSession
-    # Equal vectors once: the number of rows, and the k + 1 smallest ids (limited before the shuffle).
+    # Repeated rows once, then equal vectors once: the number of ids, and the k + 1 smallest (limited before the shuffle).
+    rows = rows.distinct()
     few = Window.partitionBy("embedding").orderBy("vec_id")
     small = rows.withColumn("place", F.row_number().over(few)).where(F.col("place") <= k + 1)
-    listed = small.groupBy("embedding").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"))
+    listed = small.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     counted = rows.groupBy("embedding").agg(F.count("*").alias("rows"))
     reps = stored(listed.join(counted, "embedding").select("embedding", "rows", "ids", F.element_at("ids", 1).alias("rep")), "vectors")
-    asked = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "embedding").distinct()
+    asked = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "embedding")
     asked = stored(attach(asked, reps.select("embedding", "rows", "rep"), "embedding", "rows", F.col("query_id")).select("query_id", "rep"), "queries")
     searched = reps.join(asked.select("rep").distinct(), "rep", "left_semi")
 

@@ -59,6 +59,22 @@ def test_op9_defined_cases(spark):
     assert nearest(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_op9_repeated_rows_take_no_place_among_equal_vectors(spark):
+    draw = np.random.default_rng(7)
+    others = [(100 + i, (draw.normal(size=4) / 9).astype(np.float32).tolist(), 0) for i in range(60)]
+    copies = [(i, [1.0, 0.0, 0.0, 0.5], 1) for i in range(5, 31)]
+    twice = [(i, [0.0, 1.0, -0.5, 0.0], 1) for i in range(40, 70)]
+    rows = spark.createDataFrame(others + copies + 24 * copies[:1] + 2 * twice, SCHEMA)
+    found = by_query(nearest(rows).collect())
+    kept = others + copies + twice
+    ids, vectors = [i for i, *_ in kept], np.array([v for _, v, _ in kept], np.float64)
+    assert sorted(found) == sorted(i for i in ids if i % 20 == 0)
+    wanted = {q: [i for i, _ in exact(ids, vectors, q, 20)] for q in found}
+    missed = sum(len(set(wanted[q]) - {r.vec_id for r in found[q]}) for q in found)
+    assert missed == 0, f"{missed} of {20 * len(found)} neighbours missed"
+    assert all([r.vec_id for r in found[q]] == wanted[q] for q in found)
+
+
 def test_forest_visits_follow_the_recall_on_the_sample():
     draw = np.random.default_rng(8)
     centres = draw.normal(size=(40, 16)) * 6
