@@ -16,7 +16,7 @@ from siteglass.plans.answer_queries import ANSWERS, cited
 from siteglass.plans.catalog import Tables, query
 from siteglass.plans.page_queries import AS_OF, PAGE_CTE, SEO, snapshot
 from siteglass.plans.search_queries import ROWS, VITALS, LIMITS, crawled, rated, rows
-from siteglass.plans.site_queries import PROTOCOL, SITE, edges, pages, protocol, sitemap
+from siteglass.plans.site_queries import PROTOCOL, SITE, edges, pages, protocol, sitemap, whole_issues
 from siteglass.plans.structured_queries import MARKED, facts as schema_facts
 from siteglass.operators import search_performance
 from siteglass.sources import carriers as C
@@ -161,18 +161,26 @@ def _(t):
     return low_pages(t).select(*HEAD)
 
 
+def citation_gaps(t: Tables):
+    return P.citation_gap_opportunities(A.citation_gap(A.domain_ranking(cited(t)), "example.com"))
+
+
 @query("citation_gap_opportunities", ANSWERS + opp_sql(
     "citation-gap", "domain", "CASE WHEN n >= 5 THEN 'high' WHEN n >= 3 THEN 'medium' ELSE 'low' END", "1",
     "(SELECT domain, count(*) AS n FROM domain WHERE domain <> 'example.com' GROUP BY domain HAVING count(*) >= 2)"))
 def _(t):
-    return P.citation_gap_opportunities(A.citation_gap(A.domain_ranking(cited(t)), "example.com")).select(*HEAD)
+    return citation_gaps(t).select(*HEAD)
+
+
+def protocol_rows(t: Tables):
+    return P.protocol_opportunities(protocol(t))
 
 
 @query("protocol_opportunities", PROTOCOL + opp_sql(
     "ai-crawl-protocol", "site", "'high'", "len(string_split(blocked, '|'))", "protocol WHERE blocked <> ''") + " UNION ALL " + opp_sql(
     "ai-crawl-protocol", "site", "'medium'", "1", "protocol WHERE NOT guide_exists"))
 def _(t):
-    return P.protocol_opportunities(protocol(t)).select(*HEAD)
+    return protocol_rows(t).select(*HEAD)
 
 
 ISSUES = opp_sql("site-issue-high", "first_url", "'high'", "affected", "issue WHERE severity = 'high'")
@@ -187,15 +195,29 @@ def _(t):
     return issue_rows(t).select(*HEAD)
 
 
+def search_gaps(t: Tables):
+    return P.search_opportunities(search_performance.search_opportunities(rows(t), crawled(t), LIMITS))
+
+
 @query("search_opportunities", ROWS + opp_sql("search-opportunity", "key", "CASE WHEN kind = 'high-impression-low-ctr' AND impressions >= 1000 THEN 'high' ELSE 'medium' END", "impressions", "opp"))
 def _(t):
-    return P.search_opportunities(search_performance.search_opportunities(rows(t), crawled(t), LIMITS)).select(*HEAD)
+    return search_gaps(t).select(*HEAD)
+
+
+def missing_entities(t: Tables):
+    facts = page_extract.with_page_facts(snapshot(t), AS_OF)
+    return P.missing_entity(facts.selectExpr("url", "word_count", "ld.types AS jsonld_types", "og"))
 
 
 @query("missing_entity", PAGE_CTE + opp_sql("missing-entity", "url", "CASE WHEN words >= 100 THEN 'medium' ELSE 'low' END", "CASE WHEN words >= 100 THEN 4 ELSE 3 END", "page"))
 def _(t):
-    facts = page_extract.with_page_facts(snapshot(t), AS_OF)
-    return P.missing_entity(facts.selectExpr("url", "word_count", "ld.types AS jsonld_types", "og")).select(*HEAD)
+    return missing_entities(t).select(*HEAD)
+
+
+def schema_gaps(t: Tables):
+    facts = schema_facts(t)
+    typed = Q.with_page_type(facts)
+    return P.schema_opportunities(Q.field_completeness(typed), Q.schema_consistency(typed), Q.entity_clarity(facts))
 
 
 @query("schema_opportunities", MARKED + """, g AS (SELECT url, p_type,
@@ -205,9 +227,7 @@ def _(t):
     + CASE WHEN p_type = 'PROMO' THEN 1 + CAST(length(p_brand) / length(p_name || ' ' || p_brand) < 0.6 AS INTEGER) ELSE 0 END AS conflicts FROM page)
 """ + opp_sql("schema-issue", "url", "CASE WHEN required > 0 THEN 'high' ELSE 'medium' END", "required + recommended + conflicts", "g"))
 def _(t):
-    facts = schema_facts(t)
-    typed = Q.with_page_type(facts)
-    return P.schema_opportunities(Q.field_completeness(typed), Q.schema_consistency(typed), Q.entity_clarity(facts)).select(*HEAD)
+    return schema_gaps(t).select(*HEAD)
 
 
 @query("vital_opportunities", VITALS + opp_sql("poor-web-vitals", "target", "CASE WHEN poor > 0 THEN 'high' ELSE 'medium' END", "poor + ni", """(
@@ -244,6 +264,28 @@ def _(t):
     return P.opportunity_counts(generated(t))
 
 
+def all_generated(t: Tables):
+    """Rows of all eight sources, with the issues of every kind."""
+    issues = P.issue_opportunities(whole_issues(t))
+    return P.supported([low_pages(t), citation_gaps(t), protocol_rows(t), issues, search_gaps(t), missing_entities(t), schema_gaps(t), P.vital_opportunities(rated(t))])
+
+
+# No statements for the merge of all sources: it is compared with the queries of the sources.
+@query("whole_merge_by_target")
+def _(t):
+    return P.rank_opportunities(P.merge_by_target(all_generated(t))).select("target", "type", "id", "impact", "affected_scope", "merged")
+
+
+@query("whole_merged_evidence")
+def _(t):
+    return P.merged_evidence(all_generated(t))
+
+
+@query("whole_opportunity_counts")
+def _(t):
+    return P.opportunity_counts(all_generated(t))
+
+
 @query("verify_opportunities", VITALS + """, w AS (SELECT user_id, arg_min(value, ts) FILTER (day(ts) <= 15) AS a, arg_max(value, ts) FILTER (day(ts) > 15) AS b FROM events GROUP BY user_id)
 SELECT 'https://www.example.com/u/' || user_id || '/x' AS target, CASE user_id % 2 WHEN 0 THEN 'increase' ELSE 'appear' END AS direction,
   CASE WHEN a IS NULL OR b IS NULL THEN 'unknown' WHEN user_id % 2 = 0 THEN CASE WHEN floor(a) = floor(b) THEN 'unchanged' WHEN floor(b) > floor(a) THEN 'resolved' ELSE 'worsened' END

@@ -296,13 +296,17 @@ def _(t):
     return S.duplicate_groups(S.shingles(texts(t), max_shingles=None))
 
 
+def near_copies(t: Tables):
+    named = texts(t).selectExpr("concat('https://docs.example.com/', id) AS id", "text")
+    return S.duplicate_groups(S.shingles(named))
+
+
 @query("duplicate_content", SHINGLES.replace("WITH token", "WITH RECURSIVE token") + GROUPS.replace(
     "SELECT group_id, id, members FROM member WHERE members > 1",
     "SELECT 'duplicate-content' AS type, 'medium' AS severity, 'https://docs.example.com/' || id AS url, count(*) OVER (PARTITION BY group_id) AS pages FROM member WHERE members > 1",
 ))
 def _(t):
-    named = texts(t).selectExpr("concat('https://docs.example.com/', id) AS id", "text")
-    rows = I.duplicate_content(S.duplicate_groups(S.shingles(named)))
+    rows = I.duplicate_content(near_copies(t))
     sizes = rows.groupBy("group_key").agg(F.count("*").alias("pages"))
     return rows.join(sizes, "group_key").select("type", "severity", "url", "pages")
 
@@ -369,6 +373,18 @@ def _(t):
     return issues.select("type", "severity", "affected", "first_url", "issue_id")
 
 
+def whole_issues(t: Tables):
+    """Issues of every kind, with near copies and language alternates."""
+    members = I.all_members(pages(t), edges(t), sitemap(t), duplicate_of=near_copies(t))
+    return I.site_issues(I.issue_members([members, L.hreflang_members(C.language_pages(t.customer), alternates(t))]))
+
+
+# No statement: it is compared with the queries of its parts.
+@query("whole_site_issues")
+def _(t):
+    return I.ordered(whole_issues(t))
+
+
 @query("multilingual_gate", "SELECT 'i18n.example.com' AS site, true AS is_multilingual, true AS has_language_signal FROM customer LIMIT 1")
 def _(t):
     return L.multilingual_gate(C.language_pages(t.customer), alternates(t))
