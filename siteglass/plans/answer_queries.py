@@ -76,6 +76,12 @@ def _(t):
     return A.answer_domains(plain, "conv_id", "turn")
 
 
+# Over all answers, with the domains of their texts; tests compare it with brute force.
+@query("whole_answer_domains")
+def _(t):
+    return A.answer_domains(C.answers(t.conversations), "conv_id", "turn")
+
+
 COUNTS = """count(*) AS attempted, count(*) FILTER (status IN ('MENTIONED', 'NOT_MENTIONED', 'INDETERMINATE')) AS successful,
   count(*) FILTER (status IN ('MENTIONED', 'NOT_MENTIONED')) AS determinable, count(*) FILTER (status = 'INDETERMINATE') AS indeterminate, count(*) FILTER (status = 'MENTIONED') AS mentioned,
   count(*) FILTER (status = 'NOT_MENTIONED') AS not_mentioned, count(*) FILTER (status = 'BLOCKED') AS blocked, count(*) FILTER (status = 'ERROR') AS error, count(*) FILTER (status = 'UNOBSERVABLE') AS unobservable"""
