@@ -1,8 +1,8 @@
 """Secret scans: three fixed patterns, and a linear-chain conditional random field that adds spans of its own.
 
-Tokens are tagged as secret begin, inside or outside. Only a token of secret shape (eight characters or more of the
-secret alphabet, with a digit) may be begin or inside, so the best tags of a text are found exactly by Viterbi over
-each run of such tokens; all tokens between runs are outside. Features are the token's shape, its neighbouring words and
+Tokens are tagged as secret begin, inside or outside. Every token of six characters or more of the secret alphabet may
+be begin or inside, with digits or without, so the best tags of a text are found exactly by Viterbi over each run of
+such tokens; all tokens between runs are outside. Features are the token's shape, its neighbouring words and
 figures of the file. The field is fitted on a bounded sample of the corpus with the patterns' matches as labels; every
 labelled run is also shown without its neighbours, so that either kind of evidence is learnt. Scanning is row-local.
 
@@ -16,7 +16,8 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,10 +43,8 @@ KINDS = [
 ADDED = "crf"
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 
-TOKEN_END = re.compile(r"[A-Za-z0-9+/_.=-]*")
-DIGIT = re.compile(r"[0-9]")
-ALPHABET = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
-LEAST_TOKEN = 8
+TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
+QUICK_TOKEN = r"[A-Za-z0-9+/_.=-]{6}"
 NEAR = re.compile(r"\w+|[^\w\s]")
 
 WEIGHTS = 1 << 14
@@ -54,6 +53,8 @@ SAMPLE_CHARS = 20_000  # of each
 EPOCHS = 60
 RATE = 0.3
 PULL = 1e-4
+FEATURES = 18  # of a token: nine of its shape, six of its neighbours, three of the file
+KEPT = 100_000  # sums of weights that a task keeps of each kind
 
 Span = tuple[int, int, int]  # start, place in KINDS, end
 
@@ -69,17 +70,7 @@ def base_spans(text: str, kinds: list[int]) -> list[Span]:
 
 def secret_shaped(text: str) -> list[tuple[int, int]]:
     """Bounds of the tokens that may be secrets."""
-    out, end = [], 0
-    for digit in DIGIT.finditer(text):
-        start = digit.start()
-        if start < end:
-            continue
-        while start > end and text[start - 1] in ALPHABET:
-            start -= 1
-        end = TOKEN_END.match(text, digit.start()).end()
-        if end - start >= LEAST_TOKEN:
-            out.append((start, end))
-    return out
+    return [m.span() for m in TOKEN.finditer(text)]
 
 
 def runs_of(text: str, tokens: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
@@ -100,6 +91,7 @@ def _shape(token: str) -> list[str]:
     short = re.sub(r"(.)\1+", r"\1", re.sub("[0-9]", "0", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", token))))
     return [
         f"length {len(token).bit_length()}",
+        f"digit {digits > 0}",
         f"digits {8 * digits // len(token)}",
         f"cases {upper} {lower}",
         f"signs {''.join(signs)[:4]}",
@@ -110,26 +102,47 @@ def _shape(token: str) -> list[str]:
     ]
 
 
-def _neighbours(text: str, start: int, end: int) -> list[str]:
+def _words_near(text: str, start: int, end: int) -> list[str]:
+    """Three words before and two after."""
     before = [w.lower() for w in NEAR.findall(text[max(0, start - 60) : start])[-3:]]
     after = [w.lower() for w in NEAR.findall(text[end : end + 30])[:2]]
-    before, after = ["-"] * (3 - len(before)) + before, after + ["-"] * (2 - len(after))
-    return [f"1 before {before[2]}", f"2 before {before[1]}", f"3 before {before[0]}", f"before {before[1]} {before[2]}", f"after {after[0]}", f"2 after {after[1]}"]
+    return ["-"] * (3 - len(before)) + before + after + ["-"] * (2 - len(after))
+
+
+def _neighbours(c: str, b: str, a: str, x: str, y: str) -> list[str]:
+    return [f"1 before {a}", f"2 before {b}", f"3 before {c}", f"before {b} {a}", f"after {x}", f"2 after {y}"]
 
 
 def _file(text: str, tokens: int) -> list[str]:
     return [f"file tokens {tokens.bit_length()}", f"file size {len(text).bit_length() // 2}", f"file signs {'=' in text} {'{' in text}"]
 
 
+def _numbers(names: list[str]) -> list[int]:
+    return [zlib.crc32(name.encode(errors="surrogatepass")) % WEIGHTS for name in names]
+
+
 def features(text: str, run: list[tuple[int, int]], file: list[str], near: bool = True) -> list[list[int]]:
     """Weight numbers of each token of a run; without `near` the neighbouring words are left out."""
     rows = []
     for start, end in run:
-        names = _shape(text[start:end]) + (_neighbours(text, start, end) if near else ["hidden"] * 6) + file
-        rows.append([zlib.crc32(name.encode()) % WEIGHTS for name in names])
+        names = _shape(text[start:end]) + (_neighbours(*_words_near(text, start, end)) if near else ["hidden"] * 6) + file
+        rows.append(_numbers(names))
     return rows
 
 
+class Kept(dict):
+    """Sums of weights by key, made when first asked for; emptied when KEPT are held."""
+
+    def __init__(self, make: Callable[..., list[float]]):
+        self.make = make
+
+    def __missing__(self, key):
+        if len(self) >= KEPT:
+            self.clear()
+        self[key] = found = self.make(key)
+        return found
+
+
 @dataclass
 class Field:
     """Weights of (feature, tag), and of (tag, next tag); inside cannot follow outside or begin a run."""
@@ -139,45 +152,90 @@ class Field:
 
     def tags(self, rows: list[list[int]]) -> list[int]:
         """The best tags of a run, by Viterbi."""
+        return self._best([self._sum(row) for row in rows], self.move.tolist())
+
+    def _sum(self, row: list[int]) -> list[float]:
+        return self.emit[row].sum(0).tolist()
+
+    @staticmethod
+    def _best(scores: list[list[float]], move: list[list[float]]) -> list[int]:
         score, back = None, []
-        for row in rows:
-            own = self.emit[row].sum(0)
+        for own in scores:
             if score is None:
-                score = own + self.move[OUTSIDE]
-            else:
-                ways = score[:, None] + self.move
-                back.append(ways.argmax(0))
-                score = ways.max(0) + own
-        tag = int(score.argmax())
+                score = [own[t] + move[OUTSIDE][t] for t in range(3)]
+                continue
+            ways = [[score[s] + move[s][t] for s in range(3)] for t in range(3)]
+            back.append([w.index(max(w)) for w in ways])
+            score = [max(w) + o for w, o in zip(ways, own)]
+        tag = score.index(max(score))
         out = [tag]
         for step in reversed(back):
-            tag = int(step[tag])
+            tag = step[tag]
             out.append(tag)
         return out[::-1]
 
+    def tagger(self) -> Callable[[str, list[tuple[int, int]], list[str]], list[int]]:
+        """`tags` of `features`, with the sums of shapes and neighbours kept for the next token that has them."""
+        shapes = Kept(lambda token: self._sum(_numbers(_shape(token))))
+        before = Kept(lambda words: self._sum(_numbers(_neighbours(*words, "", "")[:4])))
+        after = Kept(lambda words: self._sum(_numbers(_neighbours("", "", "", *words)[4:])))
+        files = Kept(lambda names: self._sum(_numbers(list(names))))
+        move = self.move.tolist()
+
+        def tags(text: str, run: list[tuple[int, int]], file: list[str]) -> list[int]:
+            f, scores = files[tuple(file)], []
+            for start, end in run:
+                words = _words_near(text, start, end)
+                a, b, c = shapes[text[start:end]], before[tuple(words[:3])], after[tuple(words[3:])]
+                scores.append([a[t] + b[t] + c[t] + f[t] for t in range(3)])
+            return self._best(scores, move)
+
+        return tags
+
 
 def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis=axis, keepdims=True)
     return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
 
 
+def _different(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different rows, and which of them each row is."""
+    number: dict[bytes, int] = {}
+    which = np.array([number.setdefault(row.tobytes(), len(number)) for row in np.ascontiguousarray(rows)], np.int64)
+    return np.frombuffer(b"".join(number), rows.dtype).reshape(len(number), rows.shape[1]), which
+
+
 def fit_field(runs: list[tuple[list[list[int]], list[int]]]) -> Field:
     """Most likely weights for (features, tags) of each run, with a slight pull to 0: forward-backward and Adagrad."""
     field = Field(np.zeros((WEIGHTS, 3)), np.zeros((3, 3)))
     never = np.zeros((3, 3))
     never[OUTSIDE, INSIDE] = -1e9
     batches = []
-    for length in sorted({len(tags) for _, tags in runs}):
-        same = [(rows, tags) for rows, tags in runs if len(tags) == length]
-        batches.append((np.array([r for r, _ in same]), np.array([t for _, t in same])))
+    # Equal runs once, with their number.
+    width = len(runs[0][0][0]) if runs else 0
+    times = Counter((np.asarray(rows, np.uint16).tobytes(), bytes(tags)) for rows, tags in runs)
+    by_length: dict[int, list] = {}
+    for (rows, tags), n in times.items():
+        by_length.setdefault(len(tags), []).append((rows, tags, n))
+    for length, same in sorted(by_length.items()):
+        rows = np.frombuffer(b"".join(r for r, *_ in same), np.uint16).reshape(len(same), length, width)
+        tags = np.frombuffer(b"".join(t for _, t, _ in same), np.uint8).reshape(len(same), length)
+        batches.append((rows, tags, np.array([n for *_, n in same], float)))
+    # Rows of features that many tokens share are summed once: shape, neighbours, file.
+    parts = [slice(0, width - 9), *(slice(w, w + 1) for w in range(width - 9, width - 3)), slice(width - 3, width)] if width == FEATURES else [slice(0, width)]
+    flat = np.concatenate([rows.reshape(-1, width) for rows, *_ in batches]) if batches else np.zeros((0, width), np.uint16)
+    shared = [_different(flat[:, part]) for part in parts]
+    ends = np.cumsum([0] + [rows.shape[0] * rows.shape[1] for rows, *_ in batches])
     total = max(1, sum(len(tags) for _, tags in runs))
     seen_emit, seen_move = np.full(field.emit.shape, 1e-6), np.full((3, 3), 1e-6)
     for _ in range(EPOCHS):
         grad_emit, grad_move = PULL * field.emit, PULL * field.move
         move = field.move + never
-        for rows, tags in batches:
-            n, length, width = rows.shape
-            own = field.emit[rows].sum(2)
+        every = sum(field.emit[rows].sum(1)[which] for rows, which in shared) if batches else np.zeros((0, 3))
+        errors = np.empty((len(flat), 3))
+        for (rows, tags, often), begin, end in zip(batches, ends, ends[1:]):
+            n, length, _ = rows.shape
+            own = every[begin:end].reshape(n, length, 3)
             forward = np.empty((n, length, 3))
             backward = np.zeros((n, length, 3))
             forward[:, 0] = own[:, 0] + move[OUTSIDE]
@@ -188,15 +246,17 @@ def fit_field(runs: list[tuple[list[list[int]], list[int]]]) -> Field:
             whole = _log_sum(forward[:, -1], 1)
             error = np.exp(forward + backward - whole[:, None, None])
             error[np.arange(n)[:, None], np.arange(length), tags] -= 1
-            at = rows.reshape(n * length, width)
-            for tag in range(3):
-                weights = np.repeat(error[:, :, tag].reshape(-1), width)
-                grad_emit[:, tag] += np.bincount(at.reshape(-1), weights, WEIGHTS) / total
+            error *= often[:, None, None]
+            errors[begin:end] = error.reshape(-1, 3)
             grad_move[OUTSIDE] += error[:, 0].sum(0) / total
-            for t in range(1, length):
-                pair = np.exp(forward[:, t - 1][:, :, None] + move + (own[:, t] + backward[:, t])[:, None, :] - whole[:, None, None])
-                np.subtract.at(pair, (np.arange(n), tags[:, t - 1], tags[:, t]), 1)
-                grad_move += pair.sum(0) / total
+            if length > 1:
+                pair = np.exp(forward[:, :-1, :, None] + move + (own + backward)[:, 1:, None, :] - whole[:, None, None, None])
+                grad_move += np.einsum("ntab,n->ab", pair, often) / total
+                grad_move -= np.bincount((3 * tags[:, :-1] + tags[:, 1:]).reshape(-1), np.repeat(often, length - 1), 9).reshape(3, 3) / total
+        for rows, which in shared:
+            for tag in range(3):
+                weights = np.bincount(which, errors[:, tag], len(rows))
+                grad_emit[:, tag] += np.bincount(rows.reshape(-1), np.repeat(weights, rows.shape[1]), WEIGHTS) / total
         seen_emit += grad_emit**2
         seen_move += grad_move**2
         field.emit -= RATE * grad_emit / np.sqrt(seen_emit)
@@ -216,27 +276,28 @@ def labelled_runs(text: str) -> list[tuple[list[list[int]], list[int]]]:
             held = next((s for s in spans if s[0] < end and start < s[2]), None)
             tags.append(OUTSIDE if held is None else INSIDE if held == last else BEGIN)
             last = held
-        out += [(features(text, run, file), tags), (features(text, run, file, near=False), tags)]
+        out += [(np.array(features(text, run, file, near), np.uint16), tags) for near in (True, False)]
     return out
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> Field:
-    """The field of a corpus: fitted on up to `sample` documents with a match and as many with a digit but no match."""
+    """The field of a corpus: fitted on up to `sample` documents with a match and as many with a token but no match."""
     match = F.col("text").rlike("|".join(f"({quick})" for *_, quick in KINDS))
     texts = sample_documents(docs, docs.where(match), sample, chars)
-    texts += sample_documents(docs, docs.where(~match & F.col("text").rlike("[0-9]")), sample, chars)
+    texts += sample_documents(docs, docs.where(~match & F.col("text").rlike(QUICK_TOKEN)), sample, chars)
     return fit_field([run for _, text in texts for run in labelled_runs(text)])
 
 
-def spans_of(text: str, kinds: list[int], digits: bool, field: Field) -> tuple[list[Span], list[Span]]:
+def spans_of(text: str, kinds: list[int], any_token: bool, field: Field, tagger: Callable | None = None) -> tuple[list[Span], list[Span]]:
     """(pattern spans, all spans) of a text, by start and kind."""
     base = base_spans(text, kinds)
-    tokens = secret_shaped(text) if digits else []
+    tokens = secret_shaped(text) if any_token else []
+    tagger = tagger or field.tagger()
     added: list[Span] = []
     file = _file(text, len(tokens))
     for run in runs_of(text, tokens):
         begun = None
-        for (start, end), tag in zip(run, field.tags(features(text, run, file))):
+        for (start, end), tag in zip(run, tagger(text, run, file)):
             if tag == INSIDE and begun is not None:
                 added[begun] = (added[begun][0], len(KINDS), end)
             elif tag != OUTSIDE:
@@ -249,13 +310,13 @@ def spans_of(text: str, kinds: list[int], digits: bool, field: Field) -> tuple[l
     return base, sorted(base + added)
 
 
-def _scanned(texts: pa.Array, field: Field) -> Iterator[tuple[list[Span], list[Span]]]:
+def _scanned(texts: pa.Array, field: Field, tagger: Callable) -> Iterator[tuple[list[Span], list[Span]]]:
     """Spans of each text; texts in which a quick test finds nothing are not searched for that kind."""
     quick = [pc.match_substring_regex(texts, test).to_pylist() for *_, test in KINDS]
-    digits = pc.match_substring_regex(texts, "[0-9]").to_pylist()
+    tokens = pc.match_substring_regex(texts, QUICK_TOKEN).to_pylist()
     for i, text in enumerate(texts.to_pylist()):
         kinds = [k for k in range(len(KINDS)) if quick[k][i]]
-        yield spans_of(text, kinds, digits[i], field) if kinds or digits[i] else ([], [])
+        yield spans_of(text, kinds, tokens[i], field, tagger) if kinds or tokens[i] else ([], [])
 
 
 NAMES = [kind for kind, *_ in KINDS] + [ADDED]
@@ -269,9 +330,10 @@ def secret_spans(docs: DataFrame, field: Field) -> DataFrame:
     """doc_id, counts of each kind, digest of the pattern spans, and all spans of every row."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tagger = field.tagger()
         for batch in batches:
             for part in slices(batch, "text"):
-                rows = list(_scanned(part.column("text"), field))
+                rows = list(_scanned(part.column("text"), field, tagger))
                 counts = [pa.array([sum(s[1] == k for s in every) for _, every in rows], pa.int64()) for k in range(len(NAMES))]
                 digests = pa.array([hashlib.sha256(written(base).encode()).hexdigest() for base, _ in rows])
                 spans = pa.array([written(every) for _, every in rows])
@@ -297,10 +359,11 @@ def without_secrets(docs: DataFrame, field: Field, mask: str = "[secret]") -> Da
     """`docs` with the spans in column text masked (null stays null) and n_chars, where given, as the new length."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tagger = field.tagger()
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = part.column("text")
-                found = _scanned(pc.fill_null(texts, ""), field)
+                found = _scanned(pc.fill_null(texts, ""), field, tagger)
                 new = [t if t is None or not s else masked(t, s, mask) for t, (_, s) in zip(texts.to_pylist(), found)]
                 out = part.set_column(part.schema.get_field_index("text"), "text", pa.array(new, texts.type))
                 yield out
