@@ -29,9 +29,7 @@ from siteglass.llm.subword import encoder
 SHARD_IDS = 1 << 20
 SYMBOLS = 1 << 16  # symbols are 16 bits wide
 ROUND_PAIRS = 4096
-LEAST_COUNT = 4
-LEAST_GAIN = 0.03
-ROUNDS = 5
+LEAST_COUNT = 2
 SLOT_BITS = 16
 ACROSS = np.uint32(0xFFFFFFFF)  # key of two symbols of different documents; no rule is ever made of two last symbols
 
@@ -57,26 +55,26 @@ def _frequent_pairs(keys: np.ndarray, most: int) -> np.ndarray:
     ordered = np.sort(keys)
     edges = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1], [True]]))
     counts = np.diff(edges)
-    often = np.flatnonzero(counts >= LEAST_COUNT)
-    often = often[np.argsort(-counts[often], kind="stable")[:most]]
-    found = ordered[edges[often]]
-    return found[found != ACROSS]
+    often = np.flatnonzero((counts >= LEAST_COUNT) & (ordered[edges[:-1]] != ACROSS))
+    return ordered[edges[often[np.argsort(-counts[often], kind="stable")[:most]]]]
 
 
 def compress(ids: np.ndarray, bounds: np.ndarray, terminals: int) -> Grammar:
-    """Re-Pair over documents ids[bounds[i]:bounds[i + 1]]; rounds stop when one shortens the sequence by too little."""
+    """Re-Pair over documents ids[bounds[i]:bounds[i + 1]], until no pair has two places apart or no symbol is left."""
     sequence = ids.astype(np.uint16)
     starts = np.asarray(bounds, np.int64)
     rules = np.zeros((0, 2), np.uint16)
     slot = lambda keys: (keys * np.uint32(0x9E3779B1)) >> np.uint32(32 - SLOT_BITS)
-    for _ in range(ROUNDS):
+    most, spent = ROUND_PAIRS, np.zeros(0, np.uint32)
+    while True:
         room = SYMBOLS - 1 - terminals - len(rules)
         if len(sequence) < 2 or room <= 0:
             break
         keys = (sequence[:-1].astype(np.uint32) << np.uint32(16)) | sequence[1:]
         last = starts[1:-1] - 1
         keys[last[(last >= 0) & (last < len(keys))]] = ACROSS
-        pairs = _frequent_pairs(keys, min(room, ROUND_PAIRS))
+        keys[np.isin(keys, spent)] = ACROSS
+        pairs = _frequent_pairs(keys, min(room, most))
         if not len(pairs):
             break
         # One pair per slot of a small table; of pairs that meet in a slot the most frequent is taken, others wait.
@@ -92,8 +90,13 @@ def compress(ids: np.ndarray, bounds: np.ndarray, terminals: int) -> Grammar:
         chosen = rule_of[at[hits]]
         uses = np.bincount(chosen, minlength=len(pairs))
         kept = np.flatnonzero(uses >= 2)
-        if not len(kept):
-            break
+        if not len(kept):  # pairs in each other's way: fewer at once; one alone whose places overlap is done with
+            if len(pairs) == 1:
+                most, spent = ROUND_PAIRS, np.append(spent, pairs)
+            else:
+                most = len(pairs) // 2
+            continue
+        most = ROUND_PAIRS
         number = np.full(len(pairs), -1, np.int64)
         number[kept] = terminals + len(rules) + np.arange(len(kept))
         hits, symbols = hits[number[chosen] >= 0], number[chosen][number[chosen] >= 0]
@@ -105,8 +108,6 @@ def compress(ids: np.ndarray, bounds: np.ndarray, terminals: int) -> Grammar:
         sequence = sequence[stays]
         added = pairs[kept]
         rules = np.concatenate([rules, np.stack([added >> np.uint32(16), added & np.uint32(0xFFFF)], 1).astype(np.uint16)])
-        if len(hits) < LEAST_GAIN * len(stays):
-            break
     lengths = np.ones(terminals + len(rules), np.int64)
     for i, (left, right) in enumerate(rules.tolist()):
         lengths[terminals + i] = lengths[left] + lengths[right]
