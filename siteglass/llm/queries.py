@@ -111,3 +111,10 @@ def op4_crf_secrets(docs, spark, folder):
     from siteglass.llm.crf_secrets import scan_secrets
 
     return scan_secrets(docs)
+
+
+@query("op11_kneser_ney_toxicity")
+def op11_kneser_ney_toxicity(docs, spark, folder):
+    from siteglass.llm.toxic_kneser_ney import toxicity_scores
+
+    return toxicity_scores(docs, spark.read.parquet(f"{folder}/labels.parquet"))
