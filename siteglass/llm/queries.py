@@ -118,3 +118,42 @@ def op11_kneser_ney_toxicity(docs, spark, folder):
     from siteglass.llm.toxic_kneser_ney import toxicity_scores
 
     return toxicity_scores(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+
+
+@query(
+    "op12_bond_hard_negatives",
+    table="embeddings",
+    sql="""
+    WITH whole AS (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+               list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS x
+        FROM embeddings
+        WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+    ), scores AS (
+        SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+               CAST(list_sum(list_transform(list_zip(a.x, b.x), lambda p: p[1] * p[2])) AS BIGINT) AS score
+        FROM whole a JOIN whole b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+    ), positives AS (
+        SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+    )
+    SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INT) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+    FROM positives p JOIN scores n ON n.anchor_id = p.anchor_id AND NOT same
+     AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+    WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)
+    QUALIFY row_number() OVER w <= 3""",
+)
+def op12_bond_hard_negatives(vectors, spark, folder):
+    from pyspark.sql import functions as F
+
+    from siteglass.llm.bond import hard_negatives
+
+    return hard_negatives(vectors, F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END"))
+
+
+@query("op13_shifted_cholesky_whitening", table="embeddings")
+def op13_shifted_cholesky_whitening(vectors, spark, folder):
+    from siteglass.llm.shifted_qr import whiten
+
+    return whiten(vectors)
