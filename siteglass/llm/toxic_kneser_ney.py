@@ -12,7 +12,7 @@ The logarithms of the two probabilities are summed over the words of a document,
 number of words (and by its root); a logistic curve makes it a probability. Three quarters of the labelled learning fold
 give the counts, all of them; the curve is fitted on the rest, CURVE_DOCS documents at most.
 
-Counting: tasks count their own words, then one row per word and one per letter gram are grouped. The difference of the two
+Labels go to all tasks up to BROADCAST_LABELS of them, more are joined by doc_id. Tasks count their own words, then one row per word and one per letter gram are grouped. The difference of the two
 models is one number per gram, and one per context for all grams without a class count. If this table has at most
 BROADCAST_GRAMS rows, each task holds it; a larger one is joined with the words, and the words with the documents.
 
@@ -43,6 +43,7 @@ DISCOUNT = 2.0  # documents of the smaller class
 SHARED_DISCOUNT = 0.75
 CURVE_DOCS = 20_000
 BROADCAST_GRAMS = 5_000_000  # 16 bytes each
+BROADCAST_LABELS = 4_000_000  # (doc_id, label) pairs; more are joined by a shuffle of the texts
 HELD_WORDS = 300_000  # words that a task keeps at once
 WORD = re.compile(r"\w{1,40}")
 
@@ -287,11 +288,15 @@ def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         used[wrong[np.argmin(weights[wrong])]] = False
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, broadcast_grams: int = BROADCAST_GRAMS, curve_docs: int = CURVE_DOCS) -> DataFrame:
+def toxicity_scores(
+    docs: DataFrame, labels: DataFrame, broadcast_grams: int = BROADCAST_GRAMS, broadcast_labels: int = BROADCAST_LABELS,
+    curve_docs: int = CURVE_DOCS,
+) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of `docs`; `labels` has doc_id and toxic."""
     docs = docs.select("doc_id", whole_text().alias("text"))
     learn = stored(learning_labels(labels), "labels")
     counting = learn.where(~for_curve())
+    counting = F.broadcast(counting) if learn.count() <= broadcast_labels else counting
     words = word_counts(docs.join(counting, "doc_id", "left"))
     table = ratio_table(words)
     if table is None:

@@ -104,7 +104,7 @@ def test_both_routes_give_the_same_scores_and_tell_the_classes_apart(spark):
     rows, labels = corpus(1500)
     docs, marks = table(spark, rows), spark.createDataFrame(labels, LABELS)
     got = {r.doc_id: r for r in K.toxicity_scores(docs, marks).collect()}
-    joined = {r.doc_id: r for r in K.toxicity_scores(docs, marks, broadcast_grams=0).collect()}
+    joined = {r.doc_id: r for r in K.toxicity_scores(docs, marks, broadcast_grams=0, broadcast_labels=0).collect()}
     assert set(got) == {i for i, _ in rows} == set(joined)
     for i, r in got.items():
         assert r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
