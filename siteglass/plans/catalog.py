@@ -53,6 +53,7 @@ def registered() -> tuple[dict[str, Query], dict[str, str]]:
         page_queries,
         search_queries,
         site_queries,
+        stream_queries,
         structured_queries,
     )
 

@@ -57,7 +57,7 @@ LOG = f"""WITH o AS (
   UNION ALL SELECT identity_key, 'REMOVED', CASE type WHEN 'rank' THEN 'result.items[].domain' ELSE 'result.citedDomains' END, 'neutral', NULL FROM sides
     WHERE (type = 'rank' AND len(list_filter(i0, lambda x: NOT list_contains(i1, x))) > 0) OR (type = 'ai_mention' AND len(list_filter(c0, lambda x: NOT list_contains(c1, x))) > 0)
   UNION ALL SELECT identity_key, 'STATUS', 'status', CASE WHEN ps = 'NOT_MENTIONED' AND status = 'MENTIONED' THEN 'improved' WHEN ps = 'MENTIONED' AND status = 'NOT_MENTIONED' THEN 'degraded' ELSE 'unknown' END, NULL FROM sides WHERE ps <> status
-  UNION ALL SELECT identity_key, 'COVERAGE', 'coverage', 'unknown', NULL FROM sides WHERE (pv > 200) <> (value > 200)
+  UNION ALL SELECT identity_key, 'COVERAGE', 'coverage', 'unknown', NULL FROM sides WHERE (CASE WHEN pv > 200 THEN 0 WHEN pe % 7 = 0 THEN 1 ELSE 2 END) <> (CASE WHEN value > 200 THEN 0 WHEN event_id % 7 = 0 THEN 1 ELSE 2 END)
   UNION ALL SELECT identity_key, 'VERSION', 'strategyVersion', 'unknown', NULL FROM sides WHERE pstrat IS DISTINCT FROM strategy_version
   UNION ALL SELECT identity_key, 'VERSION', 'result.scoringVersion', 'unknown', NULL FROM sides WHERE type = 'geo_score' AND v0 <> v1
   UNION ALL SELECT identity_key, 'EVIDENCE', 'evidenceRefs', 'neutral', NULL FROM sides WHERE pe % 3 <> event_id % 3

@@ -45,6 +45,15 @@ def local_session(cores: int | str = 8, app: str = "siteglass", memory: str = "1
     return spark
 
 
+def importable_by_workers(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it; a cluster may ship it with --py-files instead."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Directory for reliable checkpoints: spark.checkpoint.dir; in local mode also SITEGLASS_CHECKPOINTS or a temporary folder."""
     context = spark.sparkContext

@@ -164,7 +164,8 @@ def observations(events: DataFrame) -> DataFrame:
         "array(named_struct('signal', 'value.band', 'value', cast(cast(floor(value / 20) AS int) AS string)), "
         "named_struct('signal', concat('extra.', event_id % 2), 'value', 'x')) AS signals",
         "CASE WHEN value > 100 THEN 'certain' ELSE 'medium' END AS confidence",
-        "named_struct('expected', 1, 'observed', CASE WHEN value > 200 THEN 0 ELSE 1 END, 'ratio', CASE WHEN value > 200 THEN 0D ELSE 1D END) AS coverage",
+        "named_struct('expected', 2, 'observed', CASE WHEN value > 200 THEN 0 WHEN event_id % 7 = 0 THEN 1 ELSE 2 END, "
+        "'ratio', CASE WHEN value > 200 THEN 0D WHEN event_id % 7 = 0 THEN 0.5D ELSE 1D END) AS coverage",
         "event_id AS write_seq",
     )
 

@@ -2,24 +2,19 @@
 
 Each job has a batch twin in `operators.observations`; tests hold both to the
 same result. Sinks write per micro-batch under the batch id and overwrite their
-own output on a replay. The change feed compares a batch with the state as it was
-before that batch, whatever has been written since, so a batch that is run again
-after a failure, at any point, changes nothing.
+own output on a replay. The change feed and the table of latest rows have modules
+of their own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from siteglass.operators import observations as O
 from siteglass.session import cut_lineage
 
-BUCKETS = 64
-#: Batches after which the change feed writes its whole state anew; between them only a batch's own latest rows are added.
-COMPACT_EVERY = 50
-
 
 def evidence_ingest(evidence: DataFrame, delay: str = "1 day") -> DataFrame:
     """Idempotent evidence stream: one row per dedupe key within the watermark; rows without a key all pass."""
@@ -32,72 +27,6 @@ def evidence_ingest(evidence: DataFrame, delay: str = "1 day") -> DataFrame:
     return keyed.dropDuplicatesWithinWatermark(["stream_key"]).drop("stream_key")
 
 
-def _read_or_empty(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    """The stored table, or an empty one of the same shape before the first batch."""
-    location = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = location.getFileSystem(spark._jsc.hadoopConfiguration())
-    return spark.read.schema(like.schema).parquet(path) if files.exists(location) else like.limit(0)
-
-
-def _bucketed(log: DataFrame) -> DataFrame:
-    return O.with_keys(log).withColumn("bucket", F.expr(f"cast(pmod(xxhash64(identity_key), {BUCKETS}) AS int)"))
-
-
-def upsert_latest(batch: DataFrame, path: str) -> None:
-    """Fold a batch into the table of latest rows per identity; only the touched buckets are rewritten."""
-    spark = batch.sparkSession
-    incoming = cut_lineage(_bucketed(batch))
-    touched = incoming.select("bucket").distinct()
-    stored = _read_or_empty(spark, path, incoming).join(touched, "bucket", "left_semi")
-    merged = cut_lineage(O.latest_per_identity(stored.unionByName(incoming).dropDuplicates(["identity_key", "write_seq"])))
-    writer = merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy("bucket").parquet(path)
-
-
-def batch_changes(batch: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(changes, late rows) of a batch against the stored latest row of each identity.
-
-    Rows of one identity are compared in time order within the batch, the first of them with the stored row.
-    Rows older than the stored row are returned as late, for a batch repair.
-    """
-    incoming = _bucketed(batch)
-    order = F.struct("observed_at", "write_seq")
-    known = stored.select("identity_key", order.alias("_stored_at"))
-    joined = incoming.join(known, "identity_key", "left")
-    late = joined.where(F.col("_stored_at").isNotNull() & (order < F.col("_stored_at"))).drop("_stored_at")
-    fresh = joined.where(F.col("_stored_at").isNull() | (order > F.col("_stored_at"))).drop("_stored_at").withColumn("_new", F.lit(True))
-    base = stored.join(fresh.select("identity_key").distinct(), "identity_key", "left_semi").withColumn("_new", F.lit(False))
-    line = Window.partitionBy("identity_key").orderBy("observed_at", "write_seq")
-    rows = fresh.unionByName(base).withColumn("cur", F.struct(*O.PAIR_FIELDS))
-    pairs = rows.withColumn("prev", F.lag("cur").over(line)).where("_new").select("identity_key", "prev", "cur")
-    return O.diff_observations(pairs), late
-
-
-def state_before(spark: SparkSession, state_path: str, batch_id: int, like: DataFrame) -> DataFrame:
-    """Latest row of each identity over the batches before `batch_id`: the last whole state and the batches added since."""
-    whole = _read_or_empty(spark, f"{state_path}/whole", like.withColumn("batch_id", F.lit(0))).where(F.col("batch_id") < batch_id)
-    since = whole.agg(F.max("batch_id")).first()[0]
-    added = _read_or_empty(spark, f"{state_path}/added", like.withColumn("batch_id", F.lit(0))).where(F.col("batch_id") < batch_id)
-    if since is not None:
-        whole, added = whole.where(F.col("batch_id") == since), added.where(F.col("batch_id") > since)
-    rows = whole.unionByName(added).drop("batch_id").dropDuplicates(["identity_key", "write_seq"])
-    return O.latest_per_identity(rows)
-
-
-def change_feed_step(batch: DataFrame, batch_id: int, state_path: str, feed_path: str, late_path: str) -> None:
-    """One micro-batch: write its changes, late rows and latest rows under the batch id; the state before it is not touched."""
-    spark = batch.sparkSession
-    rows = cut_lineage(batch)
-    keyed = _bucketed(rows)
-    stored = state_before(spark, state_path, batch_id, keyed)
-    changes, late = batch_changes(rows, stored)
-    changes.write.mode("overwrite").parquet(f"{feed_path}/batch_id={batch_id}")
-    late.write.mode("overwrite").parquet(f"{late_path}/batch_id={batch_id}")
-    O.latest_per_identity(keyed.dropDuplicates(["identity_key", "write_seq"])).write.mode("overwrite").parquet(f"{state_path}/added/batch_id={batch_id}")
-    if batch_id and batch_id % COMPACT_EVERY == 0:
-        state_before(spark, state_path, batch_id, keyed).write.mode("overwrite").parquet(f"{state_path}/whole/batch_id={batch_id - 1}")
-
-
 def split_step(batch: DataFrame, batch_id: int, good_path: str, quarantine_path: str) -> None:
     """One micro-batch of the validation split."""
     checked = cut_lineage(O.validate_observations(batch))
@@ -111,13 +40,5 @@ def start(stream: DataFrame, step, checkpoint: str, available_now: bool = True)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def start_latest(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    return start(stream, lambda batch, _: upsert_latest(batch, path), checkpoint)
-
-
-def start_change_feed(stream: DataFrame, state_path: str, feed_path: str, late_path: str, checkpoint: str) -> StreamingQuery:
-    return start(stream, lambda b, i: change_feed_step(b, i, state_path, feed_path, late_path), checkpoint)
-
-
 def start_split(stream: DataFrame, good_path: str, quarantine_path: str, checkpoint: str) -> StreamingQuery:
     return start(stream, lambda b, i: split_step(b, i, good_path, quarantine_path), checkpoint)
