@@ -8,6 +8,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siteglass.session import cut_lineage
 
 def explode_rows(df: DataFrame, values: str, alias: str, *keep: str, position: str | None = None) -> DataFrame:
     """One row per array member, with the columns `keep`.
@@ -51,6 +52,15 @@ def attach_by_key(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str
     return joined.select(*rows.columns, *[found[c].alias(c) for c in values])
 
 
+def attach_written(rows: DataFrame, keyed: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Join of `rows` with `keyed` (one row per key), which is written first.
+
+    Beside a written table adaptive execution splits partitions of any join key, null keys included; beside an aggregate it
+    does not. Nothing is sorted or broadcast for it; `attach_by_key` is for sides that are not worth writing.
+    """
+    return rows.join(cut_lineage(keyed), keys, how)
+
+
 def held_by_key(rows: DataFrame, key: str, held: DataFrame, spread: Column) -> DataFrame:
     """Left semi join of `rows` with the keys of `held`, without a task that gets a heavy key."""
     counts = rows.groupBy(key).agg(F.count("*").alias("_rows")).join(held.select(key).distinct(), key, "left_semi")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from siteglass.functions import text as X
 from siteglass.functions import urls as U
-from siteglass.functions.rows import attach_by_key, explode_rows
+from siteglass.functions.rows import attach_written, explode_rows
 from siteglass.functions.text import Sql, each, keep, let
 from siteglass.session import cut_lineage
 
@@ -116,14 +116,27 @@ def _best_rule(pool: Sql, path: Sql) -> Sql:
 
 
 def robots_admission(urls: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
-    """Whether each (site, path) may be fetched by `agent`, and the rule that decides."""
-    rules = robots.select("site", F.expr(_pool("coalesce(groups, array())", X.lit(agent))).alias("_pool"))
-    known = urls.groupBy("site").agg(F.count("*").alias("_urls")).join(rules, "site")
-    df = attach_by_key(urls, known, ["site"], "_urls", F.col("path")).drop("_urls").withColumn("_best", F.expr(_best_rule("_pool", "coalesce(nullif(path, ''), '/')")))
-    rule = "CASE WHEN _best IS NOT NULL THEN concat(CASE WHEN _best.allow THEN 'Allow: ' ELSE 'Disallow: ' END, _best.path) END"
-    return df.withColumns(
-        {"allowed": F.expr("coalesce(_best.allow, true)"), "rule": F.expr(rule)}
-    ).drop("_pool", "_best")
+    """Whether each (site, path) may be fetched by `agent`, and the rule that decides.
+
+    The longest rule that begins a path is found by equality: a path is cut at each rule length of its site, and the pieces are
+    looked up among the site's rules. The work grows with paths and rule lengths, not with paths times rules.
+    """
+    pools = robots.select("site", F.expr(f"flatten({each(_pool('coalesce(groups, array())', X.lit(agent)), lambda g: f'{g}.rules')})").alias("rules"))
+    rules = explode_rows(pools, "rules", "r", "site").where("r.path <> ''").groupBy("site", F.col("r.path").alias("piece")).agg(F.max("r.allow").alias("allow"))
+    rules = cut_lineage(rules)
+    lengths = rules.groupBy("site").agg(F.collect_set(F.length("piece")).alias("_lengths"))
+
+    rooted = urls.withColumn("_path", F.expr("coalesce(nullif(path, ''), '/')"))
+    paths = attach_written(rooted.select("site", "_path").distinct(), lengths, ["site"], "inner")
+    cut = "transform(filter(_lengths, n -> n <= length(_path)), n -> substring(_path, 1, n))"
+    # The rule "/" also holds for paths that begin otherwise.
+    pieces = paths.select("site", "_path", F.explode(F.expr(f"array_union({cut}, array('/'))")).alias("piece"))
+    found = pieces.join(rules, ["site", "piece"])  # rules are written, so a hot piece is split
+    best = found.groupBy("site", "_path").agg(F.max(F.struct(F.length("piece").alias("n"), "allow", "piece")).alias("_best"))
+
+    df = attach_written(rooted, best, ["site", "_path"]).select(*urls.columns, "_best")
+    rule = "CASE WHEN _best IS NOT NULL THEN concat(CASE WHEN _best.allow THEN 'Allow: ' ELSE 'Disallow: ' END, _best.piece) END"
+    return df.withColumns({"allowed": F.expr("coalesce(_best.allow, true)"), "rule": F.expr(rule)}).drop("_best")
 
 
 def crawl_delay(files: DataFrame, agent: str) -> DataFrame:
