@@ -4,7 +4,9 @@ Tokens are tagged as secret begin, inside or outside. Every token of six charact
 be begin or inside, with digits or without, so the best tags of a text are found exactly by Viterbi over each run of
 such tokens; all tokens between runs are outside. Features are the token's shape, its neighbouring words and
 figures of the file. The field is fitted on a bounded sample of the corpus with the patterns' matches as labels; every
-labelled run is also shown without its neighbours, so that either kind of evidence is learnt. Scanning is row-local.
+labelled run is also shown without its neighbours, so that either kind of evidence is learnt. Scanning is row-local: a
+task numbers the different words of its texts, adds up their weights once, and then scores all tokens of some texts and
+finds the best tags of all their runs together.
 
 Defined cases: null text is empty (no spans); a null doc_id and repeated rows are carried; equal starts are ordered by
 kind; an added span never overlaps a pattern's; without any match in the sample nothing is added; an empty table gives
@@ -17,7 +19,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -45,16 +47,18 @@ OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 
 TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
 QUICK_TOKEN = r"[A-Za-z0-9+/_.=-]{6}"
-NEAR = re.compile(r"\w+|[^\w\s]")
+# Every character of a text is in one piece: white space, a token, a shorter or foreign word, a sign.
+PIECE = re.compile(r"\s+|[A-Za-z0-9+/_.=-]{6,}|[A-Za-z0-9_]+|[^\W\x00-\x7f]+|[^\w\s]")
 
 WEIGHTS = 1 << 14
-SAMPLE_DOCS = 1500  # with a match, and as many others
+SAMPLE_DOCS = 500  # with a match, and as many others
 SAMPLE_CHARS = 20_000  # of each
 EPOCHS = 60
 RATE = 0.3
 PULL = 1e-4
+SLICE = 2 << 20  # bytes of text scanned at once
 FEATURES = 18  # of a token: nine of its shape, six of its neighbours, three of the file
-KEPT = 100_000  # sums of weights that a task keeps of each kind
+KEPT = 400_000  # different pieces that a task keeps numbered
 
 Span = tuple[int, int, int]  # start, place in KINDS, end
 
@@ -68,22 +72,6 @@ def base_spans(text: str, kinds: list[int]) -> list[Span]:
     return sorted(found)
 
 
-def secret_shaped(text: str) -> list[tuple[int, int]]:
-    """Bounds of the tokens that may be secrets."""
-    return [m.span() for m in TOKEN.finditer(text)]
-
-
-def runs_of(text: str, tokens: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
-    """Tokens with nothing but white space between them belong to one run."""
-    runs: list[list[tuple[int, int]]] = []
-    for token in tokens:
-        if runs and not text[runs[-1][-1][1] : token[0]].strip():
-            runs[-1].append(token)
-        else:
-            runs.append([token])
-    return runs
-
-
 def _shape(token: str) -> list[str]:
     digits = sum(c.isdigit() for c in token)
     upper, lower = any(c.isupper() for c in token), any(c.islower() for c in token)
@@ -102,17 +90,6 @@ def _shape(token: str) -> list[str]:
     ]
 
 
-def _words_near(text: str, start: int, end: int) -> list[str]:
-    """Three words before and two after."""
-    before = [w.lower() for w in NEAR.findall(text[max(0, start - 60) : start])[-3:]]
-    after = [w.lower() for w in NEAR.findall(text[end : end + 30])[:2]]
-    return ["-"] * (3 - len(before)) + before + after + ["-"] * (2 - len(after))
-
-
-def _neighbours(c: str, b: str, a: str, x: str, y: str) -> list[str]:
-    return [f"1 before {a}", f"2 before {b}", f"3 before {c}", f"before {b} {a}", f"after {x}", f"2 after {y}"]
-
-
 def _file(text: str, tokens: int) -> list[str]:
     return [f"file tokens {tokens.bit_length()}", f"file size {len(text).bit_length() // 2}", f"file signs {'=' in text} {'{' in text}"]
 
@@ -121,26 +98,91 @@ def _numbers(names: list[str]) -> list[int]:
     return [zlib.crc32(name.encode(errors="surrogatepass")) % WEIGHTS for name in names]
 
 
-def features(text: str, run: list[tuple[int, int]], file: list[str], near: bool = True) -> list[list[int]]:
-    """Weight numbers of each token of a run; without `near` the neighbouring words are left out."""
-    rows = []
-    for start, end in run:
-        names = _shape(text[start:end]) + (_neighbours(*_words_near(text, start, end)) if near else ["hidden"] * 6) + file
-        rows.append(_numbers(names))
-    return rows
+EDGE = "-"  # stands beyond either end of a text
+SHAPE, NEAR, FILE = slice(0, 9), slice(9, 15), slice(15, 18)
+HIDDEN = _numbers(["hidden"])[0]
+
+
+class Pieces(dict):
+    """Numbers of the different pieces, and for each its length, its kind and the weight numbers of its features."""
+
+    def __init__(self):
+        super().__init__()
+        self._new: list[str] = []
+        self.length = np.zeros(0, np.int64)
+        self.space, self.token = np.zeros(0, bool), np.zeros(0, bool)
+        self.shape = np.zeros((0, 9), np.uint16)
+        self.near = np.zeros((0, 5), np.uint16)  # as the word 1, 2 and 3 before, 1 and 2 after
+        self[EDGE]
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = number = len(self)
+        self._new.append(piece)
+        return number
+
+    def settle(self) -> None:
+        """Work out what is known of the pieces that have come since."""
+        new, self._new = self._new, []
+        space = np.array([p.isspace() for p in new], bool)
+        token = np.array([TOKEN.fullmatch(p) is not None for p in new], bool)
+        shape = np.zeros((len(new), 9), np.uint16)
+        for i in np.flatnonzero(token):
+            shape[i] = _numbers(_shape(new[i]))
+        words = [w.lower() for w in new]
+        near = np.array([_numbers([f"1 before {w}", f"2 before {w}", f"3 before {w}", f"after {w}", f"2 after {w}"]) for w in words], np.uint16).reshape(-1, 5)
+        join = lambda old, more: np.concatenate([old, more])
+        self.length = join(self.length, np.array([len(p) for p in new], np.int64))
+        self.space, self.token = join(self.space, space), join(self.token, token)
+        self.shape, self.near = join(self.shape, shape), join(self.near, near)
 
 
-class Kept(dict):
-    """Sums of weights by key, made when first asked for; emptied when KEPT are held."""
-
-    def __init__(self, make: Callable[..., list[float]]):
-        self.make = make
-
-    def __missing__(self, key):
-        if len(self) >= KEPT:
-            self.clear()
-        self[key] = found = self.make(key)
-        return found
+@dataclass
+class Tokens:
+    """All tokens of some texts: text, bounds, piece, the five pieces around, and the first token of each run."""
+
+    text: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    piece: np.ndarray
+    around: np.ndarray
+    runs: np.ndarray
+    files: np.ndarray  # weight numbers of each text
+
+    @classmethod
+    def of(cls, texts: list[str], pieces: Pieces) -> Tokens:
+        edge = pieces[EDGE]
+        parts = [[edge, edge, edge, *map(pieces.__getitem__, PIECE.findall(text)), edge, edge] for text in texts]
+        pieces.settle()
+        sizes = np.array([len(p) for p in parts], np.int64)
+        every = np.array([n for p in parts for n in p], np.int64)
+        of_text = np.repeat(np.arange(len(texts)), sizes)
+        # Places in the text: the edges at either side count nothing.
+        length = pieces.length[every]
+        first = np.cumsum(sizes) - sizes
+        for at in (0, 1, 2):
+            length[first + at] = 0
+        length[first + sizes - 1] = length[first + sizes - 2] = 0
+        ends = np.cumsum(length)
+        begins = (ends - length)[first] if len(texts) else np.zeros(0, np.int64)
+        word = np.flatnonzero(~pieces.space[every])
+        at = np.flatnonzero(pieces.token[every[word]])
+        own, text = word[at], of_text[word[at]]
+        around = np.stack([every[word[at + d]] for d in (-1, -2, -3, 1, 2)], 1) if len(at) else np.zeros((0, 5), np.int64)
+        end = ends[own] - begins[text]
+        runs = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+        counts = np.bincount(text, minlength=len(texts)).tolist()
+        files = np.array([_numbers(_file(t, n)) for t, n in zip(texts, counts)], np.uint16).reshape(-1, 3)
+        return cls(text, end - length[own], end, every[own], around, runs, files)
+
+    def features(self, pieces: Pieces, near: bool = True) -> np.ndarray:
+        """Weight numbers of every token; without `near` the neighbouring words are left out."""
+        out = np.full((len(self.text), FEATURES), HIDDEN, np.uint16)
+        out[:, SHAPE], out[:, FILE] = pieces.shape[self.piece], self.files[self.text]
+        if near:
+            for i in range(5):
+                out[:, NEAR.start + i] = pieces.near[self.around[:, i], i]
+            out[:, NEAR.start + 5] = (out[:, NEAR.start].astype(np.int64) * 31 + out[:, NEAR.start + 1]) % WEIGHTS
+        return out
 
 
 @dataclass
@@ -157,6 +199,39 @@ class Field:
     def _sum(self, row: list[int]) -> list[float]:
         return self.emit[row].sum(0).tolist()
 
+    def scores(self, tokens: Tokens, pieces: Pieces) -> np.ndarray:
+        """Summed weights of every token's features, for each tag."""
+        numbers = tokens.features(pieces)
+        used, which = np.unique(tokens.piece, return_inverse=True)
+        return self.emit[pieces.shape[used]].sum(1)[which] + self.emit[tokens.files].sum(1)[tokens.text] + self.emit[numbers[:, NEAR]].sum(1)
+
+    def best_tags(self, scores: np.ndarray, runs: np.ndarray) -> np.ndarray:
+        """The best tags of all runs, by Viterbi over those that are long enough for each step."""
+        sizes = np.diff(runs, append=len(scores))
+        order = np.argsort(-sizes, kind="stable")
+        first, sizes = runs[order], sizes[order]
+        back = np.zeros(scores.shape, np.int8)
+        tags = np.zeros(len(scores), np.int8)
+        if not len(first):
+            return tags
+        score = scores[first] + self.move[OUTSIDE]
+        best = np.zeros((len(first), 3))
+        best[:] = score
+        alive = [len(first)]
+        for step in range(1, int(sizes[0])):
+            n = int(np.searchsorted(-sizes, -step, side="left"))
+            ways = best[:n, :, None] + self.move
+            back[first[:n] + step] = ways.argmax(1)
+            best[:n] = ways.max(1) + scores[first[:n] + step]
+            alive.append(n)
+        tag = best.argmax(1)
+        for step in range(int(sizes[0]) - 1, -1, -1):
+            n = alive[step]
+            tags[first[:n] + step] = tag[:n]
+            if step:
+                tag[:n] = back[first[:n] + step, tag[:n]]
+        return tags
+
     @staticmethod
     def _best(scores: list[list[float]], move: list[list[float]]) -> list[int]:
         score, back = None, []
@@ -174,24 +249,6 @@ class Field:
             out.append(tag)
         return out[::-1]
 
-    def tagger(self) -> Callable[[str, list[tuple[int, int]], list[str]], list[int]]:
-        """`tags` of `features`, with the sums of shapes and neighbours kept for the next token that has them."""
-        shapes = Kept(lambda token: self._sum(_numbers(_shape(token))))
-        before = Kept(lambda words: self._sum(_numbers(_neighbours(*words, "", "")[:4])))
-        after = Kept(lambda words: self._sum(_numbers(_neighbours("", "", "", *words)[4:])))
-        files = Kept(lambda names: self._sum(_numbers(list(names))))
-        move = self.move.tolist()
-
-        def tags(text: str, run: list[tuple[int, int]], file: list[str]) -> list[int]:
-            f, scores = files[tuple(file)], []
-            for start, end in run:
-                words = _words_near(text, start, end)
-                a, b, c = shapes[text[start:end]], before[tuple(words[:3])], after[tuple(words[3:])]
-                scores.append([a[t] + b[t] + c[t] + f[t] for t in range(3)])
-            return self._best(scores, move)
-
-        return tags
-
 
 def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis=axis, keepdims=True)
@@ -205,28 +262,37 @@ def _different(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(number), rows.dtype).reshape(len(number), rows.shape[1]), which
 
 
-def fit_field(runs: list[tuple[list[list[int]], list[int]]]) -> Field:
-    """Most likely weights for (features, tags) of each run, with a slight pull to 0: forward-backward and Adagrad."""
+def fit_field(runs: Iterable[tuple[list[list[int]], list[int]]]) -> Field:
+    """Most likely weights for (features, tags) of each run, with a slight pull to 0: forward-backward and Adagrad.
+
+    Runs are taken one by one, and only different ones are kept, with their number.
+    """
     field = Field(np.zeros((WEIGHTS, 3)), np.zeros((3, 3)))
     never = np.zeros((3, 3))
     never[OUTSIDE, INSIDE] = -1e9
     batches = []
-    # Equal runs once, with their number.
-    width = len(runs[0][0][0]) if runs else 0
-    times = Counter((np.asarray(rows, np.uint16).tobytes(), bytes(tags)) for rows, tags in runs)
+    times: Counter[tuple[bytes, bytes]] = Counter()
+    width = 0
+    for rows, tags in runs:
+        rows = np.asarray(rows, np.uint16)
+        width = rows.shape[1]
+        times[rows.tobytes(), bytes(tags)] += 1
     by_length: dict[int, list] = {}
+    total = sum(len(tags) * n for (_, tags), n in times.items())
     for (rows, tags), n in times.items():
         by_length.setdefault(len(tags), []).append((rows, tags, n))
     for length, same in sorted(by_length.items()):
         rows = np.frombuffer(b"".join(r for r, *_ in same), np.uint16).reshape(len(same), length, width)
         tags = np.frombuffer(b"".join(t for _, t, _ in same), np.uint8).reshape(len(same), length)
         batches.append((rows, tags, np.array([n for *_, n in same], float)))
+    times.clear()
+    by_length.clear()
     # Rows of features that many tokens share are summed once: shape, neighbours, file.
     parts = [slice(0, width - 9), *(slice(w, w + 1) for w in range(width - 9, width - 3)), slice(width - 3, width)] if width == FEATURES else [slice(0, width)]
     flat = np.concatenate([rows.reshape(-1, width) for rows, *_ in batches]) if batches else np.zeros((0, width), np.uint16)
     shared = [_different(flat[:, part]) for part in parts]
     ends = np.cumsum([0] + [rows.shape[0] * rows.shape[1] for rows, *_ in batches])
-    total = max(1, sum(len(tags) for _, tags in runs))
+    total = max(1, total)
     seen_emit, seen_move = np.full(field.emit.shape, 1e-6), np.full((3, 3), 1e-6)
     for _ in range(EPOCHS):
         grad_emit, grad_move = PULL * field.emit, PULL * field.move
@@ -265,19 +331,27 @@ def fit_field(runs: list[tuple[list[list[int]], list[int]]]) -> Field:
     return field
 
 
-def labelled_runs(text: str) -> list[tuple[list[list[int]], list[int]]]:
-    """Runs of a text with the patterns' matches as tags, each once with and once without its neighbours."""
-    spans = base_spans(text, [0, 1, 2])
-    tokens = secret_shaped(text)
-    file, out = _file(text, len(tokens)), []
-    for run in runs_of(text, tokens):
-        tags, last = [], None
-        for start, end in run:
-            held = next((s for s in spans if s[0] < end and start < s[2]), None)
-            tags.append(OUTSIDE if held is None else INSIDE if held == last else BEGIN)
+def labelled_runs(texts: Iterable[str]) -> Iterator[tuple[np.ndarray, list[int]]]:
+    """Runs of the texts with the patterns' matches as tags, each once with and once without its neighbours."""
+    pieces = Pieces()
+    for text in texts:
+        tokens = Tokens.of([text], pieces)
+        spans, tags = base_spans(text, [0, 1, 2]), []
+        last, at = None, 0
+        firsts = set(tokens.runs.tolist())
+        for i, (start, end) in enumerate(zip(tokens.start.tolist(), tokens.end.tolist())):
+            while at < len(spans) and spans[at][2] <= start:
+                at += 1
+            held = next((s for s in spans[at : at + len(KINDS) + 1] if s[0] < end and start < s[2]), None)
+            tags.append(OUTSIDE if held is None else INSIDE if held == last and i not in firsts else BEGIN)
             last = held
-        out += [(np.array(features(text, run, file, near), np.uint16), tags) for near in (True, False)]
-    return out
+        bounds = [*tokens.runs.tolist(), len(tags)]
+        for near in (True, False):
+            numbers = tokens.features(pieces, near)
+            for begin, end in zip(bounds, bounds[1:]):
+                yield numbers[begin:end], tags[begin:end]
+        if len(pieces) > KEPT:
+            pieces = Pieces()
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> Field:
@@ -285,38 +359,52 @@ def fit(docs: DataFrame, sample: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -
     match = F.col("text").rlike("|".join(f"({quick})" for *_, quick in KINDS))
     texts = sample_documents(docs, docs.where(match), sample, chars)
     texts += sample_documents(docs, docs.where(~match & F.col("text").rlike(QUICK_TOKEN)), sample, chars)
-    return fit_field([run for _, text in texts for run in labelled_runs(text)])
+    return fit_field(labelled_runs(text for _, text in texts))
+
+
+def added_spans(texts: list[str], field: Field, pieces: Pieces) -> dict[int, list[Span]]:
+    """Spans that the field tags, for each text that has any."""
+    tokens = Tokens.of(texts, pieces)
+    tags = field.best_tags(field.scores(tokens, pieces), tokens.runs)
+    firsts = np.zeros(len(tags), bool)
+    firsts[tokens.runs] = True
+    out: dict[int, list[Span]] = {}
+    last = -1
+    for i in np.flatnonzero(tags != OUTSIDE).tolist():
+        found = out.setdefault(int(tokens.text[i]), [])
+        if tags[i] == INSIDE and last == i - 1 and not firsts[i]:
+            found[-1] = (found[-1][0], len(KINDS), int(tokens.end[i]))
+        else:
+            found.append((int(tokens.start[i]), len(KINDS), int(tokens.end[i])))
+        last = i
+    return out
 
 
-def spans_of(text: str, kinds: list[int], any_token: bool, field: Field, tagger: Callable | None = None) -> tuple[list[Span], list[Span]]:
+def spans_of(text: str, kinds: list[int], any_token: bool, field: Field) -> tuple[list[Span], list[Span]]:
     """(pattern spans, all spans) of a text, by start and kind."""
     base = base_spans(text, kinds)
-    tokens = secret_shaped(text) if any_token else []
-    tagger = tagger or field.tagger()
-    added: list[Span] = []
-    file = _file(text, len(tokens))
-    for run in runs_of(text, tokens):
-        begun = None
-        for (start, end), tag in zip(run, tagger(text, run, file)):
-            if tag == INSIDE and begun is not None:
-                added[begun] = (added[begun][0], len(KINDS), end)
-            elif tag != OUTSIDE:
-                begun = len(added)
-                added.append((start, len(KINDS), end))
-            else:
-                begun = None
+    return base, _together(base, added_spans([text], field, Pieces()).get(0, []) if any_token else [])
+
+
+def _together(base: list[Span], added: list[Span]) -> list[Span]:
     if base and added:
         added = [a for a in added if not any(a[0] < b[2] and b[0] < a[2] for b in base)]
-    return base, sorted(base + added)
+    return sorted(base + added)
 
 
-def _scanned(texts: pa.Array, field: Field, tagger: Callable) -> Iterator[tuple[list[Span], list[Span]]]:
+def _scanned(texts: pa.Array, field: Field, pieces: Pieces) -> list[tuple[list[Span], list[Span]]]:
     """Spans of each text; texts in which a quick test finds nothing are not searched for that kind."""
     quick = [pc.match_substring_regex(texts, test).to_pylist() for *_, test in KINDS]
-    tokens = pc.match_substring_regex(texts, QUICK_TOKEN).to_pylist()
-    for i, text in enumerate(texts.to_pylist()):
+    tokens = np.flatnonzero(pc.match_substring_regex(texts, QUICK_TOKEN).to_numpy(zero_copy_only=False))
+    every = texts.to_pylist()
+    added = added_spans([every[i] for i in tokens], field, pieces)
+    by_text = {int(tokens[i]): spans for i, spans in added.items()}
+    out = []
+    for i, text in enumerate(every):
         kinds = [k for k in range(len(KINDS)) if quick[k][i]]
-        yield spans_of(text, kinds, tokens[i], field, tagger) if kinds or tokens[i] else ([], [])
+        base = base_spans(text, kinds) if kinds else []
+        out.append((base, _together(base, by_text.get(i, []))))
+    return out
 
 
 NAMES = [kind for kind, *_ in KINDS] + [ADDED]
@@ -330,10 +418,11 @@ def secret_spans(docs: DataFrame, field: Field) -> DataFrame:
     """doc_id, counts of each kind, digest of the pattern spans, and all spans of every row."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger = field.tagger()
+        pieces = Pieces()
         for batch in batches:
-            for part in slices(batch, "text"):
-                rows = list(_scanned(part.column("text"), field, tagger))
+            for part in slices(batch, "text", SLICE):
+                pieces = pieces if len(pieces) < KEPT else Pieces()
+                rows = _scanned(part.column("text"), field, pieces)
                 counts = [pa.array([sum(s[1] == k for s in every) for _, every in rows], pa.int64()) for k in range(len(NAMES))]
                 digests = pa.array([hashlib.sha256(written(base).encode()).hexdigest() for base, _ in rows])
                 spans = pa.array([written(every) for _, every in rows])
@@ -359,11 +448,12 @@ def without_secrets(docs: DataFrame, field: Field, mask: str = "[secret]") -> Da
     """`docs` with the spans in column text masked (null stays null) and n_chars, where given, as the new length."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger = field.tagger()
+        pieces = Pieces()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
+                pieces = pieces if len(pieces) < KEPT else Pieces()
                 texts = part.column("text")
-                found = _scanned(pc.fill_null(texts, ""), field, tagger)
+                found = _scanned(pc.fill_null(texts, ""), field, pieces)
                 new = [t if t is None or not s else masked(t, s, mask) for t, (_, s) in zip(texts.to_pylist(), found)]
                 out = part.set_column(part.schema.get_field_index("text"), "text", pa.array(new, texts.type))
                 yield out
