@@ -21,6 +21,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -72,22 +73,27 @@ def base_spans(text: str, kinds: list[int]) -> list[Span]:
     return sorted(found)
 
 
-def _shape(token: str) -> list[str]:
-    digits = sum(c.isdigit() for c in token)
-    upper, lower = any(c.isupper() for c in token), any(c.islower() for c in token)
-    signs = sorted(set(c for c in token if not c.isalnum()))
-    short = re.sub(r"(.)\1+", r"\1", re.sub("[0-9]", "0", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", token))))
-    return [
-        f"length {len(token).bit_length()}",
-        f"digit {digits > 0}",
-        f"digits {8 * digits // len(token)}",
-        f"cases {upper} {lower}",
-        f"signs {''.join(signs)[:4]}",
-        f"hex {all(c in '0123456789abcdef' for c in token)} {len(token) >= 20}",
-        f"different {8 * len(set(token)) // min(len(token), 36)}",
-        f"changes {min(8, len(short) // 4)}",
-        f"head {token[:4]}",
-    ]
+_CLASSES = str.maketrans({c: k for k, all_of in (("0", "0123456789"), ("A", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("a", "abcdefghijklmnopqrstuvwxyz")) for c in all_of})
+_AGAIN = re.compile(r"(.)\1+")
+_HEX = frozenset("0123456789abcdef")
+
+
+def _shape(token: str) -> tuple:
+    """What the features of a token's shape are made of, but for its head."""
+    classes, letters = token.translate(_CLASSES), set(token)
+    kinds, size, digits = set(classes), len(token), classes.count("0")
+    changes = 0 if len(kinds) == 1 else min(8, len(_AGAIN.sub(r"\1", classes)) // 4)
+    signs = "".join(sorted(kinds - {"0", "A", "a"}))[:4]
+    return size.bit_length(), 8 * digits // size, digits > 0, "A" in kinds, "a" in kinds, signs, letters <= _HEX, size >= 20, 8 * len(letters) // min(size, 36), changes
+
+
+@lru_cache(maxsize=100_000)
+def _shape_numbers(shape: tuple) -> list[int]:
+    length, share, digit, upper, lower, signs, hexadecimal, long, different, changes = shape
+    return _numbers([
+        f"length {length}", f"digit {digit}", f"digits {share}", f"cases {upper} {lower}", f"signs {signs}", f"hex {hexadecimal} {long}",
+        f"different {different}", f"changes {changes}",
+    ])
 
 
 def _file(text: str, tokens: int) -> list[str]:
@@ -101,6 +107,7 @@ def _numbers(names: list[str]) -> list[int]:
 EDGE = "-"  # stands beyond either end of a text
 SHAPE, NEAR, FILE = slice(0, 9), slice(9, 15), slice(15, 18)
 HIDDEN = _numbers(["hidden"])[0]
+ROLES = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], np.uint64)  # odd factors that tell the places apart
 
 
 class Pieces(dict):
@@ -127,9 +134,9 @@ class Pieces(dict):
         token = np.array([TOKEN.fullmatch(p) is not None for p in new], bool)
         shape = np.zeros((len(new), 9), np.uint16)
         for i in np.flatnonzero(token):
-            shape[i] = _numbers(_shape(new[i]))
-        words = [w.lower() for w in new]
-        near = np.array([_numbers([f"1 before {w}", f"2 before {w}", f"3 before {w}", f"after {w}", f"2 after {w}"]) for w in words], np.uint16).reshape(-1, 5)
+            shape[i] = [*_shape_numbers(_shape(new[i])), zlib.crc32(b"head " + new[i][:4].encode()) % WEIGHTS]
+        words = np.array([zlib.crc32(p.lower().encode(errors="surrogatepass")) for p in new], np.uint64)
+        near = ((words[:, None] * ROLES & np.uint64(0xFFFFFFFF)) >> np.uint64(18)).astype(np.uint16)  # 14 bits, one number for each place
         join = lambda old, more: np.concatenate([old, more])
         self.length = join(self.length, np.array([len(p) for p in new], np.int64))
         self.space, self.token = join(self.space, space), join(self.token, token)
