@@ -17,6 +17,7 @@ from siteglass.functions import text as X
 from siteglass.functions import urls as U
 from siteglass.functions.rows import attach_by_key, explode_rows, held_by_key
 from siteglass.operators import crawl_graph as G
+from siteglass.session import cut_lineage
 
 
 # Thresholds.
@@ -211,13 +212,34 @@ def issue_members(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), [f.select(*MEMBER) for f in frames])
 
 
+def page_members(pages: DataFrame) -> DataFrame:
+    """Members of all issues that a page has by itself, in one pass over the pages."""
+    shown = "(blocked_reason IS NULL AND http_status BETWEEN 200 AND 299 AND NOT noindex)"
+    chain = "concat(array(url), redirect_chain)"
+    missing = {f"missing-{name}": X.is_blank(col) for name, col in {**FIELDS, "canonical": "canonical"}.items()}
+    rules = [(f"{shown} AND {blank}", kind, "''") for kind, blank in missing.items()]
+    rules += [
+        (f"{shown} AND click_depth > {DEEP_PAGE}", "deep-page", "''"),
+        (f"size(redirect_chain) > {LONG_CHAIN}", "long-redirect-chain", "url"),
+        (f"size(array_distinct({chain})) < size({chain})", "redirect-loop", "url"),
+        (f"{shown} AND word_count >= {MARKUP_MIN_WORDS} AND size(jsonld_types) = 0", "missing-structured-data", "''"),
+    ]
+    entry = lambda kind, severity, key: f"named_struct('type', '{kind}', 'severity', '{severity}', 'group_key', {key})"
+    found = [f"CASE WHEN {condition} THEN {entry(kind, SEVERITY[kind], key)} END" for condition, kind, key in rules]
+    found.append(
+        f"CASE WHEN {shown} AND geo_score < {GEO_CRITICAL} THEN {entry('low-geo-score', 'high', '\'critical\'')} "
+        f"WHEN {shown} AND geo_score < {GEO_POOR} THEN {entry('low-geo-score', 'medium', '\'poor\'')} END"
+    )
+    rows = explode_rows(pages, f"array({', '.join(found)})", "m", "site", "url")
+    return rows.select("site", "m.type", "m.severity", "m.group_key", "url")
+
+
 def all_members(pages: DataFrame, edges: DataFrame, sitemap: DataFrame, duplicate_of: DataFrame | None = None) -> DataFrame:
-    """Members of every site issue; hreflang members can be added with `issue_members`."""
-    nodes = G.graph_nodes(edges, pages, sitemap)
+    """Members of every site issue; hreflang members can be added with `issue_members`. The link graph is made once."""
+    nodes = cut_lineage(G.graph_nodes(edges, pages, sitemap))
     frames = [
-        duplicates(pages), missing_fields(pages), canonical_anomalies(pages), orphan_pages(nodes), deep_pages(pages),
-        low_inlinks(pages, nodes), long_redirect_chains(pages), redirect_loops(pages), broken_internal_links(pages, edges),
-        missing_structured_data(pages), low_geo_scores(pages), weak_dimensions(pages),
+        page_members(pages), duplicates(pages), canonical_anomalies(pages), orphan_pages(nodes), low_inlinks(pages, nodes),
+        broken_internal_links(pages, edges), weak_dimensions(pages),
     ]
     if duplicate_of is not None:
         frames.append(duplicate_content(duplicate_of))

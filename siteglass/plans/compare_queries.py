@@ -13,12 +13,13 @@ from siteglass.operators import scoring
 from siteglass.operators import site_issues as I
 from siteglass.operators import structured_data as Q
 from siteglass.plans.answer_queries import ANSWERS, cited
-from siteglass.plans.catalog import Tables, query
+from siteglass.plans.catalog import SQL, Tables, query
 from siteglass.plans.page_queries import AS_OF, PAGE_CTE, SEO, snapshot
 from siteglass.plans.search_queries import ROWS, VITALS, LIMITS, crawled, rated, rows
-from siteglass.plans.site_queries import PROTOCOL, SITE, edges, pages, protocol, sitemap, whole_issues
+from siteglass.plans.site_queries import EVERY_ISSUE, PROTOCOL, SITE, issues, pages, protocol
 from siteglass.plans.structured_queries import MARKED, facts as schema_facts
 from siteglass.operators import search_performance
+from siteglass.session import cut_lineage
 from siteglass.sources import carriers as C
 
 
@@ -183,14 +184,11 @@ def _(t):
     return protocol_rows(t).select(*HEAD)
 
 
-ISSUES = opp_sql("site-issue-high", "first_url", "'high'", "affected", "issue WHERE severity = 'high'")
-
-
 def issue_rows(t: Tables):
-    return P.issue_opportunities(I.site_issues(I.all_members(pages(t), edges(t), sitemap(t))))
+    return P.issue_opportunities(issues(t))
 
 
-@query("issue_opportunities", SITE + ISSUES)
+@query("issue_opportunities", EVERY_ISSUE + opp_sql("site-issue-high", "first_url", "'high'", "affected", "every_issue WHERE severity = 'high'"))
 def _(t):
     return issue_rows(t).select(*HEAD)
 
@@ -237,11 +235,18 @@ def _(t):
 
 
 def generated(t: Tables):
-    return P.supported([low_pages(t), issue_rows(t)])
-
-
-MERGED = SITE + f""", gen AS ({opp_sql("weak-citeability", "url", "CASE WHEN geo < 40 THEN 'high' ELSE 'medium' END", "1", "ok WHERE geo < 60")} UNION ALL {ISSUES}),
-top AS (SELECT target, min(CASE impact WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END) AS i, max(affected_scope) AS affected_scope, count(*) AS merged, first(type ORDER BY CASE impact WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, affected_scope DESC, type) AS type FROM gen GROUP BY target)
+    """Rows of all eight sources, written once."""
+    rows = [low_pages(t), citation_gaps(t), protocol_rows(t), issue_rows(t), search_gaps(t), missing_entities(t), schema_gaps(t), P.vital_opportunities(rated(t))]
+    return cut_lineage(P.supported(rows))
+
+
+SOURCES = {
+    "weak_citeability": "medium", "citation_gap_opportunities": "medium", "protocol_opportunities": "low", "issue_opportunities": "medium",
+    "search_opportunities": "medium", "missing_entity": "low", "schema_opportunities": "low", "vital_opportunities": "medium",
+}
+MERGED = "WITH gen AS (" + " UNION ALL ".join(f"SELECT *, '{effort}' AS effort FROM ({SQL[name]})" for name, effort in SOURCES.items()) + """
+), ranked AS (SELECT *, CASE impact WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END AS i, CASE effort WHEN 'low' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END AS e FROM gen
+), top AS (SELECT target, min(i) AS i, max(affected_scope) AS affected_scope, count(*) AS merged, first(type ORDER BY i, e, affected_scope DESC, type, id) AS type FROM ranked GROUP BY target)
 """
 
 
@@ -250,40 +255,20 @@ def _(t):
     return P.rank_opportunities(P.merge_by_target(generated(t))).select("target", "type", "id", "impact", "affected_scope", "merged")
 
 
-@query("merged_evidence", MERGED + """
-SELECT DISTINCT first_url AS target, u.signal, u.value FROM (SELECT first_url, unnest([{'signal': type, 'value': group_key}, {'signal': 'pages', 'value': CAST(affected AS VARCHAR)}]) AS u FROM issue WHERE severity = 'high')
-UNION SELECT url, 'geoScore', CAST(geo AS VARCHAR) FROM ok WHERE geo < 60""")
-def _(t):
-    return P.merged_evidence(generated(t))
-
-
-@query("opportunity_counts", MERGED + """
-SELECT count(*) FILTER (type = 'weak-citeability') AS weak_citeability, CAST(0 AS BIGINT) AS citation_gap, CAST(0 AS BIGINT) AS ai_crawl_protocol, count(*) FILTER (type = 'site-issue-high') AS site_issue_high,
-  CAST(0 AS BIGINT) AS search_opportunity, CAST(0 AS BIGINT) AS missing_entity, CAST(0 AS BIGINT) AS schema_issue, CAST(0 AS BIGINT) AS poor_web_vitals FROM gen""")
+@query("opportunity_counts", MERGED + "SELECT " + ", ".join(f"count(*) FILTER (type = '{kind}') AS {kind.replace('-', '_')}" for kind in P.TYPES) + " FROM gen")
 def _(t):
     return P.opportunity_counts(generated(t))
 
 
-def all_generated(t: Tables):
-    """Rows of all eight sources, with the issues of every kind."""
-    issues = P.issue_opportunities(whole_issues(t))
-    return P.supported([low_pages(t), citation_gaps(t), protocol_rows(t), issues, search_gaps(t), missing_entities(t), schema_gaps(t), P.vital_opportunities(rated(t))])
-
-
-# No statements for the merge of all sources: it is compared with the queries of the sources.
-@query("whole_merge_by_target")
+# No statements for what the sources say in their own words: compared with brute force over the generated rows.
+@query("merged_evidence")
 def _(t):
-    return P.rank_opportunities(P.merge_by_target(all_generated(t))).select("target", "type", "id", "impact", "affected_scope", "merged")
-
-
-@query("whole_merged_evidence")
-def _(t):
-    return P.merged_evidence(all_generated(t))
+    return P.merged_evidence(generated(t))
 
 
-@query("whole_opportunity_counts")
+@query("merged_actions")
 def _(t):
-    return P.opportunity_counts(all_generated(t))
+    return P.merged_actions(generated(t))
 
 
 @query("verify_opportunities", VITALS + """, w AS (SELECT user_id, arg_min(value, ts) FILTER (day(ts) <= 15) AS a, arg_max(value, ts) FILTER (day(ts) > 15) AS b FROM events GROUP BY user_id)

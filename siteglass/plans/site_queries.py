@@ -119,11 +119,6 @@ def _(t):
     return I.canonical_anomalies(pages(t)).select("url", "reason")
 
 
-@query("site_issues", SITE + "SELECT site, type, severity, group_key, affected, first_url, issue_id FROM issue")
-def _(t):
-    return I.ordered(I.site_issues(I.all_members(pages(t), edges(t), sitemap(t))))
-
-
 @query("duplicate_title", """
 SELECT trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS raw_title, count(*) AS pages, min(url) AS first_url
 FROM pages GROUP BY 1 HAVING count(*) > 1 AND raw_title <> ''""")
@@ -290,12 +285,6 @@ def _(t):
     return S.duplicate_groups(S.shingles(texts(t)))
 
 
-# The same groups by the general whole-text call, kept under its earlier name.
-@query("duplicate_groups_whole_text", SHINGLES.replace("WITH token", "WITH RECURSIVE token") + GROUPS)
-def _(t):
-    return S.duplicate_groups(S.shingles(texts(t), max_shingles=None))
-
-
 def near_copies(t: Tables):
     named = texts(t).selectExpr("concat('https://docs.example.com/', id) AS id", "text")
     return S.duplicate_groups(S.shingles(named))
@@ -373,16 +362,38 @@ def _(t):
     return issues.select("type", "severity", "affected", "first_url", "issue_id")
 
 
-def whole_issues(t: Tables):
+def issues(t: Tables):
     """Issues of every kind, with near copies and language alternates."""
     members = I.all_members(pages(t), edges(t), sitemap(t), duplicate_of=near_copies(t))
     return I.site_issues(I.issue_members([members, L.hreflang_members(C.language_pages(t.customer), alternates(t))]))
 
 
-# No statement: it is compared with the queries of its parts.
-@query("whole_site_issues")
+def _steps(sql: str) -> str:
+    """The named steps of a statement without what opens and closes it."""
+    return sql.strip().removeprefix("WITH RECURSIVE ").removeprefix("WITH ").strip()
+
+
+_COPIES = SHINGLES.replace("SELECT doc_id AS id", "SELECT 'https://docs.example.com/' || doc_id AS id") + GROUPS.replace("member AS (", "copy AS (").replace(
+    "SELECT group_id, id, members FROM member WHERE members > 1", ""
+)
+HREFLANG_ID = """'hreflang:' || CASE type WHEN 'hreflang-missing-self' THEN 'missing-self-reference' WHEN 'hreflang-invalid-lang' THEN 'invalid-lang-code'
+  WHEN 'hreflang-lang-mismatch' THEN 'lang-mismatch-suspect' ELSE substr(type, 10) END || ':'"""
+#: The site's pages, near copies of texts and language alternates, and the issues of all of them.
+EVERY_ISSUE = "WITH RECURSIVE " + _steps(SITE) + ", " + _steps(_COPIES) + ", " + _steps(ALTERNATES) + f""", every_member AS (
+  SELECT 'shop.example.com' AS site, type, severity, group_key, url FROM member
+  UNION ALL SELECT 'docs.example.com', 'duplicate-content', 'medium', group_id, id FROM copy WHERE members > 1
+  UNION ALL SELECT 'i18n.example.com', type, severity, '', url FROM alt
+), every_issue AS (
+  SELECT site, type, severity, group_key, count(*) AS affected, min(url) AS first_url,
+    CASE WHEN type LIKE 'hreflang-%' THEN {HREFLANG_ID} || substr(sha1({DIGEST}), 1, 8) ELSE type || ':' || substr(sha1(type || '|' || {DIGEST}), 1, 8) END AS issue_id
+  FROM every_member GROUP BY site, type, severity, group_key
+)
+"""
+
+
+@query("site_issues", EVERY_ISSUE + "SELECT site, type, severity, group_key, affected, first_url, issue_id FROM every_issue")
 def _(t):
-    return I.ordered(whole_issues(t))
+    return I.ordered(issues(t))
 
 
 @query("multilingual_gate", "SELECT 'i18n.example.com' AS site, true AS is_multilingual, true AS has_language_signal FROM customer LIMIT 1")
