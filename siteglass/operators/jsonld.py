@@ -1,8 +1,8 @@
 """Structured-data nodes of a page, walked level by level inside the row.
 
-Each level is an array column built from the one before it, so the walk needs
-no shuffle and no join however deep the documents nest. Every node carries its
-path of child positions; sorting by path gives document (depth-first) order.
+The walk is a fold that goes on until no level is left, so it needs no shuffle
+and no join however deep the documents nest. Every node carries its path of
+child positions; sorting by path gives document (depth-first) order.
 """
 
 from __future__ import annotations
@@ -20,11 +20,9 @@ NODE_KEYS = [
     "@graph", "mainEntity", "itemListElement", "author", "creator", "publisher", "provider", "item",
     "acceptedAnswer", "suggestedAnswer", "steps", "step", "offers", "brand", "address", "contactPoint",
 ]
-NODE_DEPTH = 10
 
 # The keys followed when collecting page signals.
 SIGNAL_KEYS = ["@graph", "author", "creator", "publisher", "mainEntity", "itemListElement"]
-SIGNAL_DEPTH = 8
 
 EMPTY_FRONTIER = "cast(array() AS array<struct<path:array<int>,in_author:boolean,v:variant>>)"
 NO_TEXT = "cast(array() AS array<string>)"
@@ -65,49 +63,55 @@ def _children(n: Sql, keys: list[str]) -> Sql:
     return f"coalesce({members}, {let(as_object(f'{n}.v'), fields)}, {EMPTY_FRONTIER})"
 
 
-def _levels(df: DataFrame, keys: list[str], depth: int, prefix: str) -> tuple[DataFrame, list[str]]:
-    """Add one frontier column per level, from the `blocks` column of JSON texts."""
+NODE = "struct<path:array<int>,in_author:boolean,v:variant>"
+FOUND = "struct<path:array<int>,in_author:boolean,v:variant,depth:int>"
+
+
+def _walked(keys: list[str]) -> Sql:
+    """All nodes below the `blocks` column of JSON texts, level after level until none is left: array of FOUND.
+
+    One fold inside the row: its state is the next level and the nodes so far. A document has no more levels than opening
+    brackets, and once the next level is empty the state stays as it is.
+    """
     roots = (
         "filter(transform(blocks, (b, i) -> named_struct('path', array(i), 'in_author', false, 'v', try_parse_json(b))), "
         "r -> r.v IS NOT NULL)"
     )
-    names = [f"{prefix}0"]
-    df = df.withColumn(names[0], F.expr(roots))
-    for level in range(1, depth + 1):
-        name = f"{prefix}{level}"
-        df = df.withColumn(name, F.expr(f"flatten({each(names[-1], lambda n: _children(n, keys))})"))
-        names.append(name)
-    return df, names
-
-
-def with_nodes(df: DataFrame) -> DataFrame:
-    """Add `nodes`: array<struct<path, types, node>> of typed nodes in document order (node as JSON text)."""
-    df, names = _levels(df, NODE_KEYS, NODE_DEPTH, "_node_level_")
-
-    def listed(name: str) -> Sql:
-        types = lambda n: text_values(f"try_element_at({as_object(f'{n}.v')}, '@type')")
-        rows = each(name, lambda n: f"named_struct('path', {n}.path, 'types', {types(n)}, 'node', to_json({n}.v))")
-        return keep(rows, lambda n: f"size({n}.types) > 0")
-
-    nodes = f"array_sort(concat({', '.join(listed(n) for n in names)}))"
-    return df.withColumn("nodes", F.expr(nodes)).drop(*names)
-
+    most = "aggregate(blocks, 0, (n, b) -> n + length(b) - length(translate(b, '{[', '')))"
+    here = "transform(s.next, n -> named_struct('path', n.path, 'in_author', n.in_author, 'v', n.v, 'depth', level))"
+    below = f"flatten({each('s.next', lambda n: _children(n, keys))})"
+    step = f"CASE WHEN size(s.next) = 0 THEN s ELSE named_struct('next', {below}, 'found', concat(s.found, {here})) END"
+    start = f"named_struct('next', cast({roots} AS array<{NODE}>), 'found', cast(array() AS array<{FOUND}>))"
+    return f"aggregate(sequence(0, {most}), {start}, (s, level) -> {step}).found"
+
+
+def with_nodes(df: DataFrame, depth: int | None = None) -> DataFrame:
+    """Add `nodes`: array<struct<path, types, node, depth>> of typed nodes in document order (node as JSON text).
+
+    All levels are followed; `depth` leaves out nodes below that level.
+    """
+    types = lambda n: text_values(f"try_element_at({as_object(f'{n}.v')}, '@type')")
+    within = lambda walked: walked if depth is None else keep(walked, lambda n: f"{n}.depth <= {depth}")
+    rows = each(
+        within("_walked"), lambda n: f"named_struct('path', {n}.path, 'types', {types(n)}, 'node', to_json({n}.v), 'depth', {n}.depth)"
+    )
+    nodes = f"array_sort({keep(rows, lambda n: f'size({n}.types) > 0')})"
+    return df.withColumn("_walked", F.expr(_walked(NODE_KEYS))).withColumn("nodes", F.expr(nodes)).drop("_walked")
 
-def with_signals(df: DataFrame) -> DataFrame:
-    """Add `ld`: struct of distinct types and the seven author, publisher and date flags."""
-    df, names = _levels(df, SIGNAL_KEYS, SIGNAL_DEPTH, "_signal_level_")
 
-    def listed(name: str) -> Sql:
-        def entry(n: Sql) -> Sql:
-            return let(
-                as_object(f"{n}.v"),
-                lambda o: f"named_struct('path', {n}.path, 'in_author', {n}.in_author, "
-                f"'types', {text_values(f'try_element_at({o}, \'@type\')')}, 'keys', map_keys({o}))",
-            )
+def with_signals(df: DataFrame, depth: int | None = None) -> DataFrame:
+    """Add `ld`: struct of distinct types and the seven author, publisher and date flags; `depth` as for nodes."""
 
-        return keep(each(name, entry), lambda e: f"{e}.keys IS NOT NULL")
+    def entry(n: Sql) -> Sql:
+        return let(
+            as_object(f"{n}.v"),
+            lambda o: f"named_struct('path', {n}.path, 'in_author', {n}.in_author, "
+            f"'types', {text_values(f'try_element_at({o}, \'@type\')')}, 'keys', map_keys({o}))",
+        )
 
-    df = df.withColumn("_objects", F.expr(f"array_sort(concat({', '.join(listed(n) for n in names)}))")).drop(*names)
+    within = "_walked" if depth is None else keep("_walked", lambda n: f"{n}.depth <= {depth}")
+    listed = keep(each(within, entry), lambda e: f"{e}.keys IS NOT NULL")
+    df = df.withColumn("_walked", F.expr(_walked(SIGNAL_KEYS))).withColumn("_objects", F.expr(f"array_sort({listed})")).drop("_walked")
 
     def has(*keys: str) -> Sql:
         return f"exists(_objects, o -> arrays_overlap(o.keys, array({X.lits(keys)})))"

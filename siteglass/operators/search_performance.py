@@ -105,6 +105,19 @@ def search_rollup(rows: DataFrame, *dimensions: str) -> DataFrame:
     return search_totals(rows, *(dimensions or ("query",)))
 
 
+def search_rollups(rows: DataFrame, dimensions: list[str], sets: list[tuple[str, ...]]) -> DataFrame:
+    """Totals of several sets of dimensions in one pass; `level` is the grouping id, a bit per dimension that is summed over."""
+    grouped = rows.groupingSets([[F.col(c) for c in chosen] for chosen in sets], *[F.col(c) for c in dimensions]).agg(
+        F.grouping_id(*dimensions).alias("level"), F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"),
+        F.sum(F.col("position") * F.col("impressions")).alias("_weighted"),
+    )
+    return grouped.selectExpr(
+        *dimensions, "level", "coalesce(clicks, 0) AS clicks", "coalesce(impressions, 0) AS impressions",
+        "CASE WHEN impressions > 0 THEN clicks / impressions ELSE 0D END AS ctr",
+        "CASE WHEN impressions > 0 THEN _weighted / impressions ELSE 0D END AS position",
+    )
+
+
 def default_period(as_of: dt.date) -> tuple[dt.date, dt.date]:
     """The last 28 days including today."""
     return as_of - dt.timedelta(days=27), as_of

@@ -50,6 +50,7 @@ def registered() -> tuple[dict[str, Query], dict[str, str]]:
         answer_queries,
         compare_queries,
         log_queries,
+        observer_queries,
         page_queries,
         search_queries,
         site_queries,
