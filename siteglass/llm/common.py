@@ -55,6 +55,17 @@ def attach(rows: DataFrame, keyed: DataFrame, key: str, count: str, spread: Colu
     return attach_by_key(rows, keyed, [key], count, spread)
 
 
+def set_apart(docs: DataFrame) -> DataFrame:
+    """doc_id, text and all other columns in one struct `others`, so that no name meets one of an operator's own."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", (F.struct(*others) if others else F.lit(None)).alias("others"))
+
+
+def put_back(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of a table that was `set_apart`, in their order."""
+    return docs.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"others.`{c}`") for c in columns])
+
+
 BITS = 22
 BUCKET_BITS = 15  # bits of one bitmap value
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siteglass.llm.common import attach, bitmap_of, stored, whole_text, with_bit
+from siteglass.llm.common import attach, bitmap_of, put_back, set_apart, stored, whole_text, with_bit
 
 PREFIX = 64
 
@@ -69,7 +69,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def without_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that stay, with their columns."""
-    hashed = with_content_hash(docs)
+    """The rows of `docs` that stay, with their columns, whatever their names."""
+    hashed = with_content_hash(set_apart(docs))
     groups = stored(equal_groups(hashed.select("doc_id", "_place", "content_hash")), "groups")
-    return with_groups(hashed, groups).where("kept").select(*docs.columns)
+    return put_back(with_groups(hashed, groups).where("kept"), docs.columns)

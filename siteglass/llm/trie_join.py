@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siteglass.llm.common import attach, bitmap_of, slices, stored, whole_text, with_bit
+from siteglass.llm.common import attach, bitmap_of, put_back, set_apart, slices, stored, whole_text, with_bit
 from siteglass.operators.components import connected_components
 
 BLOCK_SETS = 256
@@ -328,15 +328,15 @@ def set_components(rows: DataFrame, docs: DataFrame, words: int, threshold: Thre
 
 
 def similarity_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """`docs` with n_shingles and component_id, the least doc_id that links of at least `percent` similarity reach.
+    """doc_id, n_shingles and component_id, the least doc_id that links of at least `percent` similarity reach, of every row.
 
     Defined cases: null or empty text, or text without words, has an empty set and is linked with nothing; fewer words
     than `words` are one gram; equal sets are linked; repeated rows share a component; a null doc_id is never the least
-    (it is kept where a component has no other); an empty table gives no rows; other columns are carried. `docs` should
+    (it is kept where a component has no other); an empty table gives no rows; other columns are ignored. `docs` should
     be a stored table, as rows are told apart by their place in its scan.
     """
     threshold = Threshold(percent)
-    placed = docs.withColumn("_place", F.monotonically_increasing_id())
+    placed = docs.select("doc_id", "text").withColumn("_place", F.monotonically_increasing_id())
     rows = stored(shingled(placed, words, threshold, False), "shingles")
     reps, labels = set_components(rows, placed, words, threshold)
     linked = labels.join(reps.select("key", "least_doc"), "key")
@@ -358,4 +358,5 @@ def one_of_each_component(docs: DataFrame, words: int = 5, percent: int = 80) ->
         .select(F.col("first._place").alias("_place"))
         .union(found.where("n_shingles = 0").select("_place"))
     )
-    return docs.withColumn("_place", F.monotonically_increasing_id()).join(keep, "_place", "left_semi").select(*docs.columns)
+    placed = set_apart(docs).withColumn("_place", F.monotonically_increasing_id())
+    return put_back(placed.join(keep, "_place", "left_semi"), docs.columns)

@@ -2,7 +2,8 @@
 
 Texts are compressed in short runs of bytes, whole texts, with either dictionary; the normalised difference of the two
 sizes is turned into a probability by a logistic curve. Labels come only from the learning fold, from a bounded sample
-per class: one half trains the dictionaries, the other half fits the curve. Scoring is row-local.
+per class: one half trains the dictionaries, the other half fits the curve, in which each class weighs its share of all
+labels. Scoring is row-local.
 
 Defined cases: null and empty texts have difference 0 and get the curve's value there; rows without doc_id are never
 held out; labels other than 0 and 1, and labels of unknown documents, are ignored; with no label of one class every
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from siteglass.llm.common import sample_documents, slices, whole_text
+from siteglass.llm.common import put_back, sample_documents, set_apart, slices, whole_text
 
 SAMPLE_DOCS = 1500  # labelled documents of each class at most
 SAMPLE_CHARS = 16_384  # of each
@@ -87,15 +88,15 @@ def size_difference(text: str, bad: bytes, good: bytes) -> float:
     return (with_bad - with_good) / (with_bad + with_good)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and bias of the curve, by Newton's method with a slight pull to 0 (so separable classes end too)."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and bias of the curve for weighted cases, by Newton's method with a slight pull to 0 (so separable classes end too)."""
     scale = float(x.std()) or 1.0
     design = np.stack([x / scale, np.ones_like(x)], 1)
     weights = np.zeros(2)
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(design @ weights, -40, 40)))
-        hessian = (design * (p * (1 - p))[:, None]).T @ design + 1e-2 * np.eye(2)
-        weights -= np.linalg.solve(hessian, design.T @ (p - y) + 1e-2 * weights)
+        hessian = (design * (weight * p * (1 - p))[:, None]).T @ design + 1e-2 * np.eye(2)
+        weights -= np.linalg.solve(hessian, design.T @ (weight * (p - y)) + 1e-2 * weights)
     return float(weights[0] / scale), float(weights[1])
 
 
@@ -110,7 +111,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, chars: in
     bad, good = build_dictionary(halves[0][0]), build_dictionary(halves[1][0])
     rest = [(t, q) for q in (0, 1) for t in halves[q][1]]
     x = np.array([size_difference(t, bad, good) for t, _ in rest])
-    slope, bias = _logistic(x, np.array([q for _, q in rest], float))
+    # Each class weighs what it has of all labels, however many of them the sample took.
+    labelled = dict(learn.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("quality").agg(F.count_distinct("doc_id")).collect())
+    share = {q: labelled[q] / sum(labelled.values()) for q in (0, 1)}
+    weight = np.array([len(rest) * share[q] / len(halves[q][1]) for _, q in rest])
+    slope, bias = _logistic(x, np.array([q for _, q in rest], float), weight)
     return Model(bad, good, slope, bias)
 
 
@@ -137,4 +142,4 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs` that are predicted good, with their columns."""
-    return with_score(docs, fit(docs, labels), "_score").where("_score >= 0.5").select(*docs.columns)
+    return put_back(with_score(set_apart(docs), fit(docs, labels)).where("score >= 0.5"), docs.columns)
