@@ -1,5 +1,7 @@
 """Columns whose names the operators use themselves go through the pipeline's stages unchanged; calibration by counted shares."""
 
+import zlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -48,8 +50,9 @@ def test_calibration_does_not_depend_on_the_sample(spark):
         rows.append((i, " ".join(mixed)))
         labels.append((i, 1 - bad))
     frame, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
-    share = sum(q for _, q in labels) / len(labels)
+    learnt = [q for i, q in labels if zlib.crc32(str(i).encode()) % 3 != 1]
+    share = sum(learnt) / len(learnt)
     for sample in (300, 1500):
         model = zstd_quality.fit(frame, marks, sample=sample)
-        mean = zstd_quality.with_score(frame, model).agg(F.avg("score")).first()[0]
+        mean = zstd_quality.with_score(frame.where(zstd_quality.held_out()), model).agg(F.avg("score")).first()[0]
         assert abs(mean - share) < 0.02, (sample, mean, share)
