@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteglass.functions import html as H
 from siteglass.functions import text as X
 from siteglass.functions import urls as U
-from siteglass.functions.rows import explode_rows, held_by_key
+from siteglass.functions.rows import attach_written, explode_rows, held_by_key
 from siteglass.functions.text import each, keep, let
 from siteglass.operators.page_extract import SKIPPED_LINK
 from siteglass.session import cut_lineage
@@ -91,6 +91,18 @@ def crawl_truncation(pages: DataFrame, max_pages: int = 100, site: str = "site")
     )
 
 
+def crawl_rows(pages: DataFrame, max_pages: int = 100, site: str = "site") -> DataFrame:
+    """`pages` (url, click_depth and more) with `kept`: among the first `max_pages` of the site by depth and URL, the rest is cut.
+
+    Tasks hold back all but each site's first pages before they are ranked, and only those are looked up again.
+    """
+    order = Window.partitionBy(site).orderBy("click_depth", "url")
+    first = pages.select(site, "url", "click_depth").distinct().withColumn("_n", F.row_number().over(order)).where(f"_n <= {max_pages}")
+    return attach_written(pages, first.select(site, "url", F.lit(True).alias("_first")), [site, "url"]).withColumn(
+        "kept", F.coalesce("_first", F.lit(False))
+    ).drop("_first")
+
+
 def site_link_shortlist(homes: DataFrame, max_links: int = 12) -> DataFrame:
     """Links of a site's home page worth listing: documentation-like paths first, the first half as core."""
     followed = keep(

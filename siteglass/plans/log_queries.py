@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from siteglass.operators import findings as D
@@ -10,6 +12,7 @@ from siteglass.operators.page_extract import with_page_facts
 from siteglass.operators.scoring import with_scores
 from siteglass.plans.catalog import Tables, query
 from siteglass.plans.page_queries import AS_OF, PAGE_CTE, SEO, snapshot
+from siteglass.session import ensure_checkpoint_dir
 from siteglass.sources import carriers as C
 from siteglass.sources import evidence_log as E
 
@@ -266,11 +269,23 @@ def _(t):
 SELECT CASE WHEN event_id % 10 = 3 THEN 'quarantined' ELSE 'good' END AS outcome, count(*) AS lines FROM events GROUP BY 1""")
 def _(t):
     line = "CASE WHEN event_id % 10 = 3 THEN concat('{\"id\": \"', event_id) ELSE to_json(named_struct('id', cast(event_id AS string), 'kind', event_type)) END AS line"
-    good, bad = E.parse_lines(t.events.selectExpr(line))
+    folder = f"{ensure_checkpoint_dir(t.spark)}/lines-{uuid.uuid4().hex}"
+    t.events.selectExpr(line).write.text(folder)
+    good, bad = E.read_log(t.spark, folder)
     marked = good.selectExpr("'good' AS outcome").unionByName(bad.selectExpr("'quarantined' AS outcome"))
     return marked.groupBy("outcome").agg(F.count("*").alias("lines"))
 
 
+@query("evidence_store", """
+SELECT 'ev-' || o_orderkey AS id, o_orderdate AS observed_at FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1997-03-01' AND TIMESTAMP '1997-09-30'""")
+def _(t):
+    folder = f"{ensure_checkpoint_dir(t.spark)}/evidence-{uuid.uuid4().hex}"
+    kept = fetches(t).select("id", "kind", "observed_at")
+    for early in (True, False):  # two appends
+        E.append_evidence(kept.where((F.col("observed_at") < "1995-01-01") == early), folder)
+    return E.read_evidence(t.spark, folder, since="1997-03-01", until="1997-09-30").select("id", "observed_at")
+
+
 @query("normalize_legacy", """
 SELECT 'r' || o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 'kept' WHEN o_orderpriority = '1-URGENT' THEN 'search:site=https://a.com/x|q=red shoes' WHEN o_orderpriority = '2-HIGH' THEN 'ai-slot:acme:unknown'
   ELSE 'site:https://www.example.com/o/' || o_orderkey END AS subject,

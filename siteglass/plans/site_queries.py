@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from siteglass.functions import text as X
@@ -17,7 +19,9 @@ from siteglass.operators import site_issues as I
 from siteglass.operators.components import connected_components
 from siteglass.plans.catalog import Tables, query
 from siteglass.plans.page_queries import LINK_CTE, facts
+from siteglass.session import ensure_checkpoint_dir
 from siteglass.sources import carriers as C
+from siteglass.sources import tables as T
 
 BASE = "https://shop.example.com/o/"
 
@@ -220,6 +224,24 @@ def _(t):
     return G.crawl_truncation(I.with_site(t.pages), 5).withColumn("coverage", F.round("coverage", 9))
 
 
+@query("crawl_rows", """
+SELECT url, row_number() OVER (PARTITION BY regexp_extract(url, '^https?://([^/?#:]+)', 1) ORDER BY length(url) % 4, url) <= 5 AS kept FROM (SELECT DISTINCT url FROM pages)""")
+def _(t):
+    found = I.with_site(t.pages.select("url").distinct()).withColumn("click_depth", F.expr("length(url) % 4"))
+    return G.crawl_rows(found, 5).select("url", "kept")
+
+
+# The busiest site of a stored snapshot, read through its bucket.
+@query("site_snapshot", """
+WITH p AS (SELECT url, html, regexp_extract(url, '^https?://([^/?#:]+)', 1) AS host FROM pages), busy AS (SELECT host FROM p GROUP BY host ORDER BY count(*) DESC, host LIMIT 1)
+SELECT url, CAST(length(html) AS INTEGER) AS characters FROM p WHERE host = (SELECT host FROM busy)""")
+def _(t):
+    folder = f"{ensure_checkpoint_dir(t.spark)}/snapshot-{uuid.uuid4().hex}"
+    T.write_page_snapshot(T.as_snapshot(t.pages.repartition(8, "url")), folder)
+    hosts = I.with_site(t.pages).groupBy("site").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "site").limit(1).collect()
+    return T.site_snapshot(t.spark, folder, hosts[0].site if hosts else "").selectExpr("url", "length(html) AS characters")
+
+
 @query("site_link_shortlist", LINK_CTE.replace("SELECT DISTINCT url, ", "SELECT url, min(i) AS i, ").replace(
     "(SELECT url, unnest(hrefs) AS h FROM page) WHERE h LIKE '/%'",
     "(SELECT url, unnest(hrefs) AS h, generate_subscripts(hrefs, 1) AS i FROM page) WHERE h LIKE '/%' GROUP BY 1, 3",

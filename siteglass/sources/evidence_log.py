@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siteglass.functions import text as X
 from siteglass.functions.text import Sql
 from siteglass.operators.observations import answer_subject, http_source, search_subject, site_subject
+from siteglass.session import cut_lineage
 
 # Header and query names that carry secrets.
 SECRET_HEADER = (
@@ -42,10 +43,21 @@ def append_evidence(evidence: DataFrame, path: str) -> None:
     evidence.withColumn("observed_date", F.to_date("observed_at")).write.mode("append").partitionBy("observed_date").parquet(path)
 
 
+def read_evidence(spark: SparkSession, path: str, since: str | None = None, until: str | None = None) -> DataFrame:
+    """Rows of an appended log between two times; the days are partition filters, so other days are not read."""
+    rows = spark.read.parquet(path)
+    for bound, compare in ((since, "__ge__"), (until, "__le__")):
+        if bound is not None:
+            at = F.lit(bound).cast("timestamp")
+            rows = rows.where(getattr(F.col("observed_date"), compare)(at.cast("date")) & getattr(F.col("observed_at"), compare)(at))
+    return rows.drop("observed_date")
+
+
 def read_log(spark: SparkSession, path: str, schema: str = LOG_SCHEMA) -> tuple[DataFrame, DataFrame]:
-    """(good rows, lines that are no valid JSON) of a JSON-lines log."""
-    lines = spark.read.text(path).withColumnRenamed("value", "line")
-    return parse_lines(lines, schema)
+    """(good rows, lines that are no valid JSON with their file) of JSON-lines files, read and parsed once."""
+    reader = spark.read.schema(f"{schema}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt")
+    read = cut_lineage(reader.json(path).select("*", F.col("_metadata.file_path").alias("file")))
+    return read.where("_corrupt IS NULL").drop("_corrupt", "file"), read.where("_corrupt IS NOT NULL").selectExpr("_corrupt AS line", "file")
 
 
 def parse_lines(lines: DataFrame, schema: str = LOG_SCHEMA) -> tuple[DataFrame, DataFrame]:

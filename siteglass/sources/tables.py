@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteglass.functions import urls as U
@@ -18,12 +18,26 @@ def page_snapshot(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PAGE_SCHEMA).parquet(path)
 
 
-def write_page_snapshot(pages: DataFrame, path: str, host_buckets: int = 256) -> None:
+HOST_BUCKETS = 256
+
+
+def _bucket(host: Column, host_buckets: int) -> Column:
+    return F.pmod(F.xxhash64(host), F.lit(host_buckets)).cast("int")
+
+
+def write_page_snapshot(pages: DataFrame, path: str, host_buckets: int = HOST_BUCKETS) -> None:
     """Store a snapshot partitioned by a hash of the host, so a site query reads one bucket and no bucket is one site's own."""
-    bucket = F.pmod(F.xxhash64(F.expr(U.host_of("url"))), F.lit(host_buckets)).cast("int")
+    bucket = _bucket(F.expr(U.host_of("url")), host_buckets)
     pages.withColumn("host_bucket", bucket).write.mode("append").partitionBy("host_bucket").parquet(path)
 
 
+def site_snapshot(spark: SparkSession, path: str, host: str, host_buckets: int = HOST_BUCKETS) -> DataFrame:
+    """The pages of one host of a stored snapshot: the host's bucket is a partition filter, so no other is read."""
+    stored = spark.read.schema(f"{PAGE_SCHEMA}, host_bucket int").parquet(path)
+    own = stored.where((F.col("host_bucket") == _bucket(F.lit(host), host_buckets)) & (F.expr(U.host_of("url")) == host))
+    return own.drop("host_bucket")
+
+
 def as_snapshot(pages: DataFrame, status: int = 200) -> DataFrame:
     """Bare (url, html) pages as a snapshot: fetched with `status`, no redirects, not blocked."""
     return pages.select(
