@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siteglass.functions import text as X
 from siteglass.functions import urls as U
-from siteglass.functions.rows import explode_rows
+from siteglass.functions.rows import attach_written, explode_rows
 from siteglass.functions.text import Sql, each, let
 
 # Patterns of refusals, links and domains.
@@ -168,28 +168,33 @@ def citation_gap(ranking: DataFrame, own_domain: str) -> DataFrame:
     return ranking.where("records >= 2").where(F.expr(f"domain <> {U.registrable_domain(X.lit(own_domain))}"))
 
 
-def citation_diff(previous: DataFrame, current: DataFrame) -> DataFrame:
+#: Rows of one query and model up to which they are one block of time, and the blocks that a busier one is cut into.
+ONE_BLOCK = 100_000
+BLOCKS = 256
+
+
+def citation_diff(previous: DataFrame, current: DataFrame, one_block: int = ONE_BLOCK, blocks: int = BLOCKS) -> DataFrame:
     """Each current record against the latest earlier stored record of the same query and model.
 
-    The as-of lookup is a window per (query, model, day); the last stored record of
-    earlier days is carried in from one row per day, so a busy key is split by day.
+    The as-of lookup is a window per (query, model, block of time). The blocks of a busy key are cut at quantiles of its own
+    times, so they hold about as many rows each whatever the days; the last stored record of earlier blocks is carried in
+    from one row per block.
     """
     keep = ["query", "model", "observed_at", "mentioned", "citations", "citations_status"]
     record = F.struct("observed_at", "mentioned", "citations", "citations_status")
     both = previous.select(*keep).withColumn("_cur", F.lit(False)).unionByName(current.select(*keep).withColumn("_cur", F.lit(True)))
-    both = both.withColumns(
-        {
-            "_day": F.to_date("observed_at"), "_us": F.unix_micros("observed_at"),
-            "_stored": F.when(~F.col("_cur"), record),
-        }
-    )
+    both = both.withColumns({"_us": F.unix_micros("observed_at"), "_stored": F.when(~F.col("_cur"), record)})
     key = ["query", "model"]
-    within = Window.partitionBy(*key, "_day").orderBy("_us").rangeBetween(Window.unboundedPreceding, -1)
-    per_day = both.groupBy(*key, "_day").agg(F.max_by("_stored", F.when(~F.col("_cur"), F.col("_us"))).alias("_last"))
-    earlier = Window.partitionBy(*key).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    carried = per_day.withColumn("_carried", F.last("_last", ignorenulls=True).over(earlier)).select(*key, "_day", "_carried")
-    same_day = both.withColumn("_prev", F.last("_stored", ignorenulls=True).over(within)).where("_cur")
-    joined = same_day.join(carried, [*key, "_day"]).withColumn("_prev", F.coalesce("_prev", "_carried"))
+    shares = F.array(*[F.lit(i / blocks) for i in range(1, blocks)])
+    busy = both.groupBy(*key).agg(F.count("*").alias("_rows"), F.percentile_approx("_us", shares, 10 * blocks).alias("_cuts"))
+    both = attach_written(both, busy.where(F.col("_rows") > one_block).drop("_rows"), key)
+    both = both.withColumn("_block", F.expr("coalesce(size(filter(_cuts, c -> c <= _us)), 0)")).drop("_cuts")
+    within = Window.partitionBy(*key, "_block").orderBy("_us").rangeBetween(Window.unboundedPreceding, -1)
+    per_block = both.groupBy(*key, "_block").agg(F.max_by("_stored", F.when(~F.col("_cur"), F.col("_us"))).alias("_last"))
+    earlier = Window.partitionBy(*key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = per_block.withColumn("_carried", F.last("_last", ignorenulls=True).over(earlier)).select(*key, "_block", "_carried")
+    same_block = both.withColumn("_prev", F.last("_stored", ignorenulls=True).over(within)).where("_cur")
+    joined = attach_written(same_block, carried, [*key, "_block"], "inner").withColumn("_prev", F.coalesce("_prev", "_carried"))
     mention = (
         "CASE WHEN _prev IS NULL THEN NULL WHEN _prev.mentioned = mentioned THEN 'unchanged' WHEN mentioned THEN 'added' ELSE 'lost' END"
     )
