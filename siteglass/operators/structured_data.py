@@ -134,8 +134,12 @@ def _marked_prices() -> Sql:
     return keep(each(priced, entry), lambda p: f"{p}.raw <> ''")
 
 
-def _question_answers() -> Sql:
-    """array<struct<question, answer>>: question headings with the text up to the next question heading."""
+def _question_answers(most: int | None = None) -> Sql:
+    """array<struct<question, answer>>: question headings with the text up to the next question heading.
+
+    Each piece between headings is put into one answer only, so the work grows with the page. `most` cuts answers to so
+    many characters.
+    """
     heading = H.element_pattern("h[1-6]")
     listed = X.extract_all("html", heading)
     gaps = f"split(html, {X.lit(heading)}, -1)"
@@ -143,14 +147,12 @@ def _question_answers() -> Sql:
     def pairs(c: Sql) -> Sql:
         # c: struct<h: heading texts, full: heading elements, gap: pieces between>; q: positions of question headings
         positions = f"filter(sequence(0, size({c}.h)), i -> i < size({c}.h) AND {X.matches(f'get({c}.h, i)', QUESTION)})"
-        between = (
-            f"concat(get({c}.gap, q[k] + 1), array_join(transform(filter(sequence(0, size({c}.h)), j -> j > q[k] AND "
-            f"j < coalesce(get(q, k + 1), size({c}.h))), j -> concat(get({c}.full, j), get({c}.gap, j + 1))), ''))"
-        ).replace("q[k]", "get(q, k)")
-        answers = (
-            f"transform(sequence(0, size(q) - 1), k -> named_struct('question', get({c}.h, get(q, k)), "
-            f"'answer', substring({X.strip_tags(between)}, 1, 500)))"
-        )
+        first, after = "get(q, k)", f"coalesce(get(q, k + 1), size({c}.h))"
+        later = f"{after} - {first} - 1"  # headings inside the answer
+        inside = f"zip_with(slice({c}.full, {first} + 2, {later}), slice({c}.gap, {first} + 3, {later}), (f, g) -> concat(f, g))"
+        text = X.strip_tags(f"concat(get({c}.gap, {first} + 1), array_join({inside}, ''))")
+        answer = text if most is None else f"substring({text}, 1, {most})"
+        answers = f"transform(sequence(0, size(q) - 1), k -> named_struct('question', get({c}.h, {first}), 'answer', {answer}))"
         body = f"CASE WHEN size(q) >= 2 THEN filter({answers}, a -> length(a.answer) >= 4) ELSE array() END"
         return f"element_at(transform(array({positions}), q -> {body}), 1)"
 

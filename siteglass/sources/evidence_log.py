@@ -118,12 +118,16 @@ def import_missing(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return incoming.dropDuplicates(["id"]).join(existing.select("id"), "id", "left_anti")
 
 
-def redact_headers(headers: Sql) -> Sql:
-    """Secret header values replaced, auth schemes kept, long values cut to 40 characters."""
+#: Header values longer than LONG_HEADER are stored as their first SHOWN characters; fixed values of the log's format.
+LONG_HEADER, SHOWN = 120, 40
+
+
+def redact_headers(headers: Sql, longest: int = LONG_HEADER, shown: int = SHOWN) -> Sql:
+    """Secret header values replaced, auth schemes kept; values over `longest` characters keep the first `shown` and a mark."""
     value = (
         f"CASE WHEN {X.matches('k', SECRET_HEADER)} OR {X.matches('k', SECRET_NAME)} THEN '{REDACTED}' "
         f"WHEN {X.matches('v', AUTH_SCHEME)} THEN concat(split(v, '\\\\s+', 2)[0], ' {REDACTED}') "
-        "WHEN length(v) > 120 THEN concat(substring(v, 1, 40), '…[truncated ', length(v) - 40, ']') ELSE coalesce(v, '') END"
+        f"WHEN length(v) > {longest} THEN concat(substring(v, 1, {shown}), '…[truncated ', length(v) - {shown}, ']') ELSE coalesce(v, '') END"
     )
     return f"transform_values(map_filter({headers}, (k, v) -> trim(k) <> ''), (k, v) -> {value})"
 
@@ -134,9 +138,9 @@ def redact_url(url: Sql) -> Sql:
     return X.replaced(url, secret, "$1%5BREDACTED%5D")
 
 
-def leak_check(evidence: DataFrame, forbidden: list[str]) -> DataFrame:
-    """Ids of rows whose headers still contain a forbidden literal of at least eight characters."""
-    words = [w for w in forbidden if len(w) >= 8]
+def leak_check(evidence: DataFrame, forbidden: list[str], least: int = 8) -> DataFrame:
+    """Ids of rows whose headers still contain a forbidden literal of at least `least` characters (shorter ones match too much)."""
+    words = [w for w in forbidden if len(w) >= least]
     hit = " OR ".join(f"contains(v, {X.lit(w)}) OR contains(k, {X.lit(w)})" for w in words) or "false"
     return evidence.where(F.expr(f"size(map_filter(headers, (k, v) -> {hit})) > 0")).select("id")
 
