@@ -149,16 +149,16 @@ def with_blocks(pages: DataFrame) -> DataFrame:
     return pages.withColumn("blocks", F.expr(H.jsonld_blocks("html")))
 
 
-def jsonld_nodes(pages: DataFrame) -> DataFrame:
-    """One row per typed node: url, node_ordinal, types, node."""
-    df = with_nodes(with_blocks(pages.select("url", "html")))
+def jsonld_nodes(pages: DataFrame, depth: int | None = None) -> DataFrame:
+    """One row per typed node, down to level `depth` or all: url, node_ordinal, types, node."""
+    df = with_nodes(with_blocks(pages.select("url", "html")), depth)
     rows = explode_rows(df, "nodes", "n", "url", position="node_ordinal")
     return rows.selectExpr("url", "node_ordinal", "n.types", "n.node")
 
 
-def jsonld_signals(pages: DataFrame) -> DataFrame:
+def jsonld_signals(pages: DataFrame, depth: int | None = None) -> DataFrame:
     """One row per page: type list and the seven flags."""
-    return with_signals(with_blocks(pages.select("url", "html"))).select("url", "ld.*")
+    return with_signals(with_blocks(pages.select("url", "html")), depth).select("url", "ld.*")
 
 
 def root_types(pages: DataFrame) -> DataFrame:

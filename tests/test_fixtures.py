@@ -146,7 +146,8 @@ def test_node_depth_limit(spark):
         nested = '{"item":' + nested + "}"
     html = f'<script type="application/ld+json">{nested}</script><script type="application/ld+json">{nested[8:-1]}</script>'
     df = spark.createDataFrame([("u", html)], "url string, html string")
-    assert J.jsonld_nodes(df).count() == 1
+    assert J.jsonld_nodes(df, depth=10).count() == 1
+    assert J.jsonld_nodes(df).count() == 2
 
 
 def site(spark):
