@@ -61,6 +61,8 @@ def _frequent_pairs(keys: np.ndarray, most: int) -> np.ndarray:
 
 def compress(ids: np.ndarray, bounds: np.ndarray, terminals: int) -> Grammar:
     """Re-Pair over documents ids[bounds[i]:bounds[i + 1]], until no pair has two places apart or no symbol is left."""
+    if terminals > SYMBOLS or len(ids) and not 0 <= int(ids.min()) <= int(ids.max()) < terminals:
+        raise ValueError(f"ids must lie below the vocabulary's {terminals} ids, and those fit {SYMBOLS} symbols")
     sequence = ids.astype(np.uint16)
     starts = np.asarray(bounds, np.int64)
     rules = np.zeros((0, 2), np.uint16)

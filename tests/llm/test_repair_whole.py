@@ -3,6 +3,7 @@
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from siteglass.llm.repair import compress, expand
 
@@ -26,3 +27,9 @@ def test_op1_no_pair_is_left_twice():
                 places[pair] += 1
                 last[pair] = i
         assert not places or max(places.values()) == 1
+
+
+def test_op1_ids_that_do_not_fit_a_symbol_stop_with_an_error():
+    for ids, terminals in (([1, 70_000], 100_000), ([1, 9], 5), ([-1, 2], 5)):
+        with pytest.raises(ValueError):
+            compress(np.array(ids), np.array([0, 2]), terminals)
