@@ -103,13 +103,15 @@ def protocol_findings(protocol: DataFrame) -> DataFrame:
 
 
 def regression_gate(
-    scores: DataFrame, found: DataFrame, base_scores: DataFrame, base_found: DataFrame, limits: GateLimits = GateLimits()
+    scores: DataFrame, found: DataFrame, base_scores: DataFrame, base_found: DataFrame, limits: GateLimits = GateLimits(), part: str | None = None
 ) -> DataFrame:
     """Pass or fail per subject against its baseline.
 
     scores: subject, seo_score, geo_score; found: subject, issue_id, severity.
-    A subject without a baseline is only held to the score floor.
+    A subject without a baseline is only held to the score floor. With `part`, a column of both scores that tells the
+    pages of a subject apart, every page is held to its own scores and to the findings of its subject.
     """
+    keys = ["subject"] if part is None else ["subject", part]
     base_issues = base_found.select("subject", "issue_id").distinct()
     new = (
         found.join(base_issues, ["subject", "issue_id"], "left_anti")
@@ -120,9 +122,9 @@ def regression_gate(
         )
     )
     base = base_scores.select(
-        "subject", F.col("seo_score").alias("base_seo"), F.col("geo_score").alias("base_geo"), F.lit(True).alias("has_base")
+        *keys, F.col("seo_score").alias("base_seo"), F.col("geo_score").alias("base_geo"), F.lit(True).alias("has_base")
     )
-    joined = scores.join(base, "subject", "left").join(new, "subject", "left")
+    joined = scores.join(base, keys, "left").join(new, "subject", "left")
     known = F.coalesce(F.col("has_base"), F.lit(False))
     zero = F.lit(0).cast("bigint")
 
@@ -130,7 +132,7 @@ def regression_gate(
         return F.when(known, value)
 
     joined = joined.select(
-        "subject",
+        *keys,
         known.alias("has_baseline"),
         if_base(F.col("seo_score") - F.col("base_seo")).alias("seo_delta"),
         if_base(F.col("geo_score") - F.col("base_geo")).alias("geo_delta"),
