@@ -25,7 +25,7 @@ def shared(spark, folder, tmp_path_factory):
     return str(out)
 
 
-@pytest.mark.parametrize("name", ["link_edges", "page_links", "regression_gate", "seo_score"])
+@pytest.mark.parametrize("name", ["link_edges", "page_links", "regression_gate", "seo_score", "site_link_shortlist"])
 def test_pages_that_share_a_url(spark, shared, name):
     message, rows = difference(spark, connect(shared), QUERIES[name], SQL[name], shared)
     assert message is None and rows > 0, message
