@@ -124,30 +124,44 @@ def topic_gap(items: DataFrame, own_titles: DataFrame, own_domain: str | None =
     return joined.selectExpr("query", "topic", "covered", f"{coverage} AS own_coverage").where("own_coverage <> 'full'")
 
 
-def query_overlap(results: DataFrame, min_jaccard: float = 0.3, min_shared: int = 2) -> DataFrame:
+#: URLs of up to this many queries have their pairs of queries counted straight away.
+LIGHT = 200
+
+
+def query_overlap(results: DataFrame, min_jaccard: float = 0.3, min_shared: int = 2, light: int = LIGHT) -> DataFrame:
     """Pairs of queries by shared result URLs: Jaccard at least `min_jaccard`, or at least `min_shared` URLs.
 
-    results: query, url. A pair that qualifies shares at least least(min_shared, ceil(min_jaccard * n)) URLs of either
-    query, so all but that many less one of a query's most frequent URLs index it; candidates are counted exactly
-    from rows, never from lists.
+    results: query, url. URLs of up to `light` queries give their pairs once, and a pair's URLs are counted from them. A
+    pair that qualifies shares at least least(min_shared, ceil(min_jaccard * n)) URLs of either query, so of the more
+    frequent URLs a query leaves out all but that many less one, its most frequent ones; for the pairs found the few left
+    out are looked up. Nothing else is looked up again, and a list is no longer than `light`.
     """
     links = cut_lineage(results.select("query", "url").where("url <> ''").distinct())
-    sizes = cut_lineage(links.groupBy("query").agg(F.count("*").alias("n")))
-    frequency = links.groupBy("url").agg(F.count("*").alias("df"))
-    ranked = attach_by_key(links, frequency, ["url"], "df", F.col("query")).join(sizes, "query").withColumn(
-        "_n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("df"), "url"))
-    )
+    sizes = links.groupBy("query").agg(F.count("*").alias("n"))
+    frequency = links.groupBy("url").agg(F.count("*").alias("df")).where("df > 1")
+    # A URL of one query is in no pair; the sizes are counted with it.
+    shared = attach_by_key(links, frequency, ["url"], "df", F.col("query")).where("df > 1")
+    rows = cut_lineage(attach_by_key(shared, sizes, ["query"], "n", F.col("url")))
     needed = f"greatest(1, least({min_shared}, cast(ceil(n * {min_jaccard}D - 1e-9D) AS int)))"
-    index = ranked.where(f"df > 1 AND _n >= {needed}").select("query", "url")
-    pairs = paired_by_key(index, "url", "query").selectExpr(
-        "least(a_query, b_query) AS a", "greatest(a_query, b_query) AS b"
-    ).distinct()
-    pairs = pairs.join(sizes.selectExpr("query AS a", "n AS n_a"), "a").join(sizes.selectExpr("query AS b", "n AS n_b"), "b")
-    probe = pairs.withColumn("query", F.expr("CASE WHEN n_a <= n_b THEN a ELSE b END")).withColumn(
-        "_other", F.expr("CASE WHEN n_a <= n_b THEN b ELSE a END")
+    ranked = rows.where(f"df > {light}").withColumn("_n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("df"), "url")))
+    heavy = cut_lineage(ranked.selectExpr("query", "url", "n", f"_n < {needed} AS _out"))
+
+    listed = rows.where(f"df <= {light}").groupBy("url").agg(F.array_sort(F.collect_list(F.struct("query", "n"))).alias("q"))
+    pair = "named_struct('a', x.query, 'b', y.query, 'n_a', x.n, 'n_b', y.n)"
+    every = f"flatten(transform(q, (x, i) -> transform(slice(q, i + 2, size(q)), y -> {pair})))"
+    few = listed.select(F.explode(F.expr(every)).alias("p")).select("p.*")
+    swap = lambda x, y: f"CASE WHEN a_query < b_query THEN {x} ELSE {y} END"
+    many = paired_by_key(heavy.where("NOT _out"), "url", "query", ("n",)).selectExpr(
+        "least(a_query, b_query) AS a", "greatest(a_query, b_query) AS b", f"{swap('a_n', 'b_n')} AS n_a", f"{swap('b_n', 'a_n')} AS n_b"
     )
-    common = probe.join(links, "query").join(links.selectExpr("query AS _other", "url"), ["_other", "url"], "left_semi")
-    counted = common.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"))
+    key = ["a", "b", "n_a", "n_b"]
+    counted = few.unionByName(many).groupBy(*key).agg(F.count("*").alias("shared"))
+    out = heavy.where("_out").select("query", "url")
+    if not out.isEmpty():
+        counted = cut_lineage(counted)
+        sides = [counted.join(out.withColumnRenamed("query", own), own).join(heavy.selectExpr(f"query AS {other}", "url"), [other, "url"], "left_semi") for own, other in (("a", "b"), ("b", "a"))]
+        more = sides[0].select(*key, "url").union(sides[1].select(*key, "url")).distinct().groupBy(*key).agg(F.count("*").alias("shared"))
+        counted = counted.unionByName(more).groupBy(*key).agg(F.sum("shared").alias("shared"))
     scored = counted.withColumn("jaccard", F.expr("shared / (n_a + n_b - shared)"))
     return scored.where(f"jaccard >= {min_jaccard}D OR shared >= {min_shared}")
 
