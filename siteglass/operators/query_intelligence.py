@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siteglass.functions import text as X
 from siteglass.functions import urls as U
 from siteglass.functions.rows import attach_by_key, explode_rows
-from siteglass.functions.text import each
+from siteglass.functions.text import each, let
 from siteglass.operators.answers import USABLE
 from siteglass.operators.components import connected_components
 from siteglass.operators.similarity import paired_by_key
@@ -46,12 +46,15 @@ TITLE_BREAK = f"[{X.BLANK}\\-—·,，。：:、|｜()（）\\[\\]【】{{}}\"'`
 
 
 def query_intent(queries: DataFrame, items: DataFrame | None = None) -> DataFrame:
-    """Intent by priority over word rules and result-page features; confidence from the number of hits."""
-    word = {name: X.contains_any("lower(trim(query))", words) for name, words in INTENT_WORDS.items()}
-    base = queries.select("query").distinct()
+    """Intent by priority over word rules and result-page features; confidence from the number of hits.
+
+    A query may be a whole text: it is lowered once and searched once for each word.
+    """
+    searched = let("lower(trim(query))", lambda q: "array(" + ", ".join(f"cast({X.contains_any(q, words)} AS int)" for words in INTENT_WORDS.values()) + ")")
+    base = queries.select("query").distinct().withColumn("_words", F.expr(searched))
     features = ["_own", "_shop", "_map", "_ask"]
     if items is None:
-        base = base.selectExpr("query", *[f"false AS {f}" for f in features])
+        base = base.selectExpr("query", "_words", *[f"false AS {f}" for f in features])
     else:
         found = items.groupBy("query").agg(
             F.expr("bool_or(position = 1 AND owned)").alias("_own"),
@@ -62,7 +65,7 @@ def query_intent(queries: DataFrame, items: DataFrame | None = None) -> DataFram
         base = base.join(found, "query", "left").na.fill(False, features)
     feature = {"navigational": "_own", "transactional": "_shop", "local": "_map", "informational": "_ask"}
     order = list(INTENT_WORDS)
-    hits = {n: f"(cast({word[n]} AS int) + cast({feature.get(n, 'false')} AS int))" for n in order}
+    hits = {n: f"(_words[{i}] + cast({feature.get(n, 'false')} AS int))" for i, n in enumerate(order)}
     chosen = "CASE " + " ".join(f"WHEN {hits[n]} > 0 THEN '{n}'" for n in order) + " ELSE 'informational' END"
     total = " + ".join(hits.values())
     return base.selectExpr(
