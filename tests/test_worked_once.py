@@ -1,8 +1,22 @@
 """What is costly for a row is worked out once for it, and by all cores when a small file holds all rows."""
 
+from pyspark.sql import functions as F
+
+from siteglass.operators import protocol_files as R
 from siteglass.operators import query_intelligence as M
 
 
+def counted(df, column):
+    """`df` with a column that counts the rows it is read for."""
+    reads = df.sparkSession.sparkContext.accumulator(0)
+
+    def read(value):
+        reads.add(1)
+        return value
+
+    return df.withColumn(column, F.udf(read, "string")(column)), reads
+
+
 def test_intent_lowers_a_text_once(spark):
     queries = spark.createDataFrame([("Buy LOGIN",), (" how to order ",), ("x",), (None,)], "query string")
     found = M.query_intent(queries)
@@ -11,3 +25,12 @@ def test_intent_lowers_a_text_once(spark):
     assert got == {
         "Buy LOGIN": ("navigational", "high"), " how to order ": ("transactional", "high"), "x": ("informational", "low"), None: ("informational", "low"),
     }
+
+
+def test_sitemap_files_are_read_once(spark):
+    index = lambda i: f"<sitemapindex ><sitemap><loc>f{i + 1}</loc></sitemap></sitemapindex>"
+    rows = [(f"f{i}", index(i)) for i in range(4)] + [("f4", "<urlset><url><loc>p</loc></url></urlset>")]
+    files, reads = counted(spark.createDataFrame(rows, "url string, body string"), "body")
+    declared = spark.createDataFrame([("s", "f0")], "site string, url string")
+    assert [tuple(r) for r in R.sitemap_closure(declared.select("site"), declared, files).collect()] == [("s", "p")]
+    assert reads.value == 5
