@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from siteglass.operators import crawl_graph as G
 from siteglass.operators import protocol_files as R
 from siteglass.operators import query_intelligence as M
 
@@ -34,3 +35,11 @@ def test_sitemap_files_are_read_once(spark):
     declared = spark.createDataFrame([("s", "f0")], "site string, url string")
     assert [tuple(r) for r in R.sitemap_closure(declared.select("site"), declared, files).collect()] == [("s", "p")]
     assert reads.value == 5
+
+
+def test_click_depth_reads_its_links_once(spark):
+    links = spark.createDataFrame([(str(i), str(i + 1)) for i in range(6)], "source string, target string")
+    edges, reads = counted(links, "target")
+    found = G.click_depth(edges, spark.createDataFrame([("0",)], "url string"))
+    assert sorted((r.url, r.depth) for r in found.collect()) == [(str(i), i) for i in range(7)]
+    assert reads.value == 6
