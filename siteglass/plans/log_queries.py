@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from siteglass.functions.rows import spread
 from siteglass.operators import findings as D
 from siteglass.operators import observations as O
 from siteglass.operators.page_extract import with_page_facts
@@ -18,7 +19,7 @@ from siteglass.sources import evidence_log as E
 
 
 def log(t: Tables):
-    return C.observations(t.events)
+    return C.observations(spread(t.events))
 
 
 def keyed(t: Tables):

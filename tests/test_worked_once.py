@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 from siteglass.operators import crawl_graph as G
 from siteglass.operators import protocol_files as R
 from siteglass.operators import query_intelligence as M
+from siteglass.plans import log_queries
+from siteglass.plans.catalog import Tables
+from siteglass.sources import carriers as C
 
 
 def counted(df, column):
@@ -43,3 +46,11 @@ def test_click_depth_reads_its_links_once(spark):
     found = G.click_depth(edges, spark.createDataFrame([("0",)], "url string"))
     assert sorted((r.url, r.depth) for r in found.collect()) == [(str(i), i) for i in range(7)]
     assert reads.value == 6
+
+
+def test_one_file_is_dealt_to_all_cores(spark, folder):
+    t = Tables(spark, folder)
+    cores = spark.sparkContext.defaultParallelism
+    assert t.customer.rdd.getNumPartitions() < cores
+    for rows in (C.robots_files(t.customer), C.sitemap_files(t.part), log_queries.log(t)):
+        assert rows.rdd.getNumPartitions() >= cores
