@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from siteglass.operators import crawl_graph as G
 from siteglass.operators import protocol_files as R
 from siteglass.operators import query_intelligence as M
-from siteglass.plans import log_queries
+from siteglass.plans import compare_queries, log_queries
 from siteglass.plans.catalog import Tables
 from siteglass.sources import carriers as C
 
@@ -54,3 +54,8 @@ def test_one_file_is_dealt_to_all_cores(spark, folder):
     assert t.customer.rdd.getNumPartitions() < cores
     for rows in (C.robots_files(t.customer), C.sitemap_files(t.part), log_queries.log(t)):
         assert rows.rdd.getNumPartitions() >= cores
+
+
+def test_schema_facts_are_worked_out_once(spark, folder):
+    gaps = compare_queries.schema_gaps(Tables(spark, folder))
+    assert "parquet" not in gaps._jdf.queryExecution().optimizedPlan().toString()
