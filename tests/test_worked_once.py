@@ -59,3 +59,8 @@ def test_one_file_is_dealt_to_all_cores(spark, folder):
 def test_schema_facts_are_worked_out_once(spark, folder):
     gaps = compare_queries.schema_gaps(Tables(spark, folder))
     assert "parquet" not in gaps._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_counting_opportunities_does_not_write_them(spark, folder):
+    rows = compare_queries.generated(Tables(spark, folder))
+    assert len(rows.inputFiles()) > 0  # not a written copy: what a query does not need is left out of its plan
