@@ -4,11 +4,17 @@ Both vocabularies used here cut a text at every single space before they merge,
 its pieces put together. A task keeps the ids of the pieces it has met (a bounded number; later ones are encoded anew
 per batch), splits and numbers the pieces with Arrow, and gathers the ids with numpy. Texts where a cut at a space
 could change the result (a space between other white space, or a special token's string) are encoded whole.
+
+The word vocabulary lower-cases and cuts a piece into letters, digits and signs before it merges. For pieces of plain
+characters that is done here, so that the library's merges are asked once per distinct word, not once per word with its
+capital, full stop or line end.
 """
 
 from __future__ import annotations
 
+import json
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -21,6 +27,29 @@ CACHED_PIECES = 700_000
 CALL_PIECES = 4096
 MARK = "\x01"
 
+# Steps before the merges of the word vocabulary, for which a piece of plain characters is cut by WORDS. Plain are ASCII
+# white space, printable ASCII but the apostrophe (of contractions), and the letters of Latin-1, which have one composed form.
+WORD_STEPS = {
+    "normalizer": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    "pre_tokenizer": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+PLAIN = re.compile(rf"[\t-\r\x20-\x26\x28-\x7e{LATIN}]*")
+WORDS = re.compile(rf"[{LATIN}]+|[0-9]|{MARK}|[^{LATIN}0-9\t-\r\x20{MARK}]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter by which a byte-level vocabulary writes each byte."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+BYTE_LETTERS = _byte_letters()
+
 
 class PieceCache:
     """Ids of whole texts put together from the ids of their pieces; subclasses say how a piece is encoded."""
@@ -93,14 +122,23 @@ class PieceEncoder(PieceCache):
         self.mark = "\n" if self.spaced else f" {MARK} "
         (self.mark_id,) = self.ids_of(self.mark)
         self.joinable = re.compile(r" ?\S+").fullmatch if self.spaced else (lambda piece: MARK not in piece)
+        steps = json.loads(self.tokenizer.to_str())
+        self.by_words = all((steps[k] or {}).get("type") == "Sequence" and steps[k].get("normalizers", steps[k].get("pretokenizers")) == own for k, own in WORD_STEPS.items())
+        self.words: dict[str, bytes] = {}
 
     def ids_of(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def ids_of_pieces(self, pieces: list[str]) -> list[bytes]:
-        """Pieces are put together with a mark that keeps them apart, to save calls."""
+        """Plain pieces by their words; others are put together with a mark that keeps them apart, to save calls."""
         out: dict[str, bytes] = {}
-        joined = [p for p in pieces if p and self.joinable(p)]
+        if self.by_words:
+            text = MARK.join(pieces)
+            if PLAIN.fullmatch(text.replace(MARK, "")) and text.count(MARK) == len(pieces) - 1:
+                return self._ids_by_words(pieces)
+            plain = [p for p in pieces if PLAIN.fullmatch(p)]
+            out.update(zip(plain, self._ids_by_words(plain)))
+        joined = [p for p in pieces if p and p not in out and self.joinable(p)]
         for at in range(0, len(joined), CALL_PIECES):
             part = joined[at : at + CALL_PIECES]
             text = self.mark.join(part) + self.mark
@@ -116,6 +154,24 @@ class PieceEncoder(PieceCache):
         out.update(zip(alone, super().ids_of_pieces(alone)))
         return [out[p] for p in pieces]
 
+    def _ids_by_words(self, pieces: list[str]) -> list[bytes]:
+        if not pieces:
+            return []
+        merged, known = self.tokenizer.model.tokenize, self.words
+        cut = pa.array(WORDS.findall(MARK.join([*pieces, ""]).lower())).dictionary_encode()
+        codes, names = cut.indices.to_numpy(zero_copy_only=False), cut.dictionary.to_pylist()
+        for word in names:
+            if word not in known:
+                letters = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
+                known[word] = array("I", [token.id for token in merged(letters)]).tobytes()
+        known[MARK] = b""
+        ids = [known[word] for word in names]
+        if len(known) > self.cached:
+            known.clear()
+        ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))[codes])[codes == names.index(MARK)].tolist()
+        every = b"".join([ids[code] for code in codes.tolist()])
+        return [every[begin:end] for begin, end in zip([0, *ends], ends)]
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> PieceEncoder:

@@ -61,6 +61,16 @@ def test_pieces_give_the_library_s_ids(name, cached):
         assert bounds[-1] == bounds[-2]
 
 
+def test_plain_pieces_share_their_words():
+    """Capitals, signs and line ends make no new words, and the ids are the library's."""
+    pieces = PieceEncoder(vocabularies.path("word_bpe_49k.json"))
+    texts = ["Haus haus. HAUS,\nHaus; 12.Haus", "größe Größe! GRÖSSE?", "l'Haus don't Haus's", "h́aus ſ K"]
+    ids, bounds = pieces.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [pieces.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert set(pieces.words) - {"\x01"} == {"haus", ".", ",", ";", "1", "2", "größe", "grösse", "!", "?", "k"}
+    assert not PieceEncoder(vocabularies.path("byte_bpe_50k.json")).by_words
+
+
 def test_prefix_encoding_is_tiktoken_s(prefix):
     library = tiktoken.Encoding("own", pat_str=vocabularies.PATTERN, mergeable_ranks=prefix.ranks.ranks, special_tokens={})
     texts = odd_texts() + [t for _, t in documents(SMALL)]
