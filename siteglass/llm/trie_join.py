@@ -9,7 +9,7 @@ work is cut down first, by counts alone:
 3. What is left goes into prefix trees. A tree holds the sets that begin with the same gram: the root's branches are the
    shards. Several global orders are used; large shards are cut into blocks that all get the shard's first set. Walking a
    tree shares the overlap found so far among all sets below a node and leaves a subtree when the grams that remain on
-   either side cannot reach the threshold.
+   either side cannot reach the threshold, or when all its sets are connected with the probe already.
 4. The links found form components. A link that the orders missed joins two components, and then nearly all grams of
    both sets occur in other components. Sets for which that holds are joined once more, without gaps: linked ones share
    a gram of the prefix in order of rarity, so the components of that index are the shards, joined in all pairs of
@@ -23,7 +23,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -31,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteglass.llm.common import attach, bitmap_of, put_back, set_apart, slices, stored, whole_text, with_bit
-from siteglass.operators.components import connected_components
+from siteglass.operators.components import connected_components, joined_nodes
 
 BLOCK_SETS = 256
 BLOCK_GRAMS = 1 << 19
@@ -107,39 +106,38 @@ class Threshold:
 
 
 class Node:
-    """A stretch of grams that all sets below share, then the children, or the sets that end here."""
+    """A stretch of grams that all sets below share, then the children; the sets below have the places low to high, those that end here low to own."""
 
-    __slots__ = ("grams", "children", "sets", "shortest", "longest")
+    __slots__ = ("grams", "children", "low", "own", "high", "shortest", "longest")
 
-    def __init__(self, grams: np.ndarray, shortest: int, longest: int):
-        self.grams, self.shortest, self.longest = grams, shortest, longest
+    def __init__(self, grams: np.ndarray, low: int, own: int, high: int, sizes: np.ndarray):
+        self.grams, self.low, self.own, self.high = grams, low, own, high
+        self.shortest, self.longest = int(sizes.min()), int(sizes.max())
         self.children: list[Node] = []
-        self.sets: list[int] = []
 
 
-def prefix_tree(sets: list[np.ndarray]) -> Node:
-    """The tree of ascending arrays."""
-    order = sorted(range(len(sets)), key=lambda i: sets[i].tolist())
+def prefix_tree(sets: list[np.ndarray], sizes: np.ndarray) -> Node:
+    """The tree of ascending arrays, which are in lexicographic order."""
 
     def build(low: int, high: int, depth: int) -> Node:
-        first, last = sets[order[low]], sets[order[high - 1]]
+        first, last = sets[low], sets[high - 1]
         most = min(len(first), len(last))
         differ = np.flatnonzero(first[depth:most] != last[depth:most])
         end = depth + int(differ[0]) if len(differ) else most
-        sizes = [len(sets[i]) for i in order[low:high]]
-        node = Node(first[depth:end], min(sizes), max(sizes))
-        while low < high and len(sets[order[low]]) == end:
-            node.sets.append(order[low])
-            low += 1
+        own = low
+        while own < high and sizes[own] == end:
+            own += 1
+        node = Node(first[depth:end], low, own, high, sizes[low:high])
+        low = own
         while low < high:
-            stop, head = low + 1, sets[order[low]][end]
-            while stop < high and sets[order[stop]][end] == head:
+            stop, head = low + 1, sets[low][end]
+            while stop < high and sets[stop][end] == head:
                 stop += 1
             stack.append((node, low, stop, end))
             low = stop
         return node
 
-    stack: list[tuple[Node | None, int, int, int]] = []
+    stack: list[tuple[Node, int, int, int]] = []
     root = build(0, len(sets), 0)
     while stack:
         parent, low, high, depth = stack.pop()
@@ -147,43 +145,45 @@ def prefix_tree(sets: list[np.ndarray]) -> Node:
     return root
 
 
-def tree_links(sets: list[np.ndarray], labels: list[int], threshold: Threshold) -> list[tuple[int, int]]:
-    """Links (i, j) between sets, enough to connect all that similar pairs connect; sets of one label count as connected."""
-    leader: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while leader.setdefault(x, x) != x:
-            leader[x] = leader[leader[x]]
-            x = leader[x]
-        return x
-
-    links, root = [], prefix_tree(sets)
+def tree_links(sets: list[np.ndarray], keys: list[int], labels: list[int], threshold: Threshold) -> list[tuple[int, int]]:
+    """Links (key, key) enough to connect all that similar pairs connect, each to the least key; sets of one label count as connected."""
+    order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
+    sets = [sets[i] for i in order]
+    sizes = np.array([len(s) for s in sets])
+    _, at, group = np.unique(np.array([labels[i] for i in order], np.int64), return_index=True, return_inverse=True)
+    before = group.copy()
+    root = prefix_tree(sets, sizes)
     for i, probe in enumerate(sets):
-        n = len(probe)
-        stack = [(root, 0, 0, 0)]
+        n, stack = len(probe), [(root, 0, 0, 0)]
         while stack:
             node, depth, both, used = stack.pop()
-            if threshold.overlap(node.shortest) > n or threshold.overlap(n) > node.longest:
+            # A pair is looked at from its first set in the order of the tree.
+            if node.high <= i + 1 or threshold.overlap(node.shortest) > n or threshold.overlap(n) > node.longest:
+                continue
+            if not (group[max(node.low, i + 1) : node.high] != group[i]).any():
                 continue
             need = threshold.pair_overlap(n, max(node.shortest, threshold.overlap(n)))
             alive = True
-            for at in range(0, len(node.grams), STEP):
-                part = node.grams[at : at + STEP]
-                place = np.searchsorted(probe, part)
-                both += int((probe[np.minimum(place, n - 1)] == part)[place < n].sum())
-                used = int(np.searchsorted(probe, part[-1], side="right"))
+            for start in range(0, len(node.grams), STEP):
+                part = node.grams[start : start + STEP]
+                place = probe.searchsorted(part)
+                same = probe.take(place, mode="clip") == part
+                both += int(np.count_nonzero(same))
+                used = int(place[-1]) + bool(same[-1])
                 depth += len(part)
                 if both + min(n - used, node.longest - depth) < need:
                     alive = False
                     break
             if not alive:
                 continue
-            for j in node.sets:
-                a, b = find(labels[i]), find(labels[j])
-                if a != b and threshold.similar(both, n, depth):
-                    leader[a] = b
-                    links.append((i, j))
+            for j in range(max(node.low, i + 1), node.own):
+                if group[j] != group[i] and threshold.similar(both, n, depth):
+                    group[group == group[j]] = group[i]
             stack += [(child, depth, both, used) for child in node.children]
+    links = []
+    for one in np.unique(group[before != group]):  # one set of every label in it
+        held = [keys[order[k]] for k in at[group[at] == one]]
+        links += [(key, min(held)) for key in held if key != min(held)]
     return links
 
 
@@ -233,20 +233,45 @@ def _blocks(buckets: DataFrame, sets: DataFrame, threshold: Threshold, every_pai
         alone = F.array("own")
         first = F.when(F.col("key") == F.col("first_key"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(alone)
         cells = placed.withColumn("cell_a", F.explode(first)).withColumn("cell_b", F.col("cell_a"))
-    loaded = cells.select("bucket", "cell_a", "cell_b", "key", "label").join(sets.select("key", "grams"), "key")
-
-    def join(rows: pd.DataFrame) -> pd.DataFrame:
-        keys, labels = rows["key"].tolist(), rows["label"].tolist()
-        grams = [np.asarray(g, np.int64) for g in rows["grams"]]
-        known, ranks = np.unique(np.concatenate(grams), return_inverse=True)
-        ranked = np.split(ranks, np.cumsum([len(g) for g in grams])[:-1])
-        if len(known) and every_pair:  # rarest first
-            order = np.argsort(np.argsort(np.bincount(ranks), kind="stable"), kind="stable")
-            ranked = [order[r] for r in ranked]
-        links = tree_links([np.sort(r) for r in ranked], labels, threshold)
-        return pd.DataFrame({"a": [keys[i] for i, _ in links], "b": [keys[j] for _, j in links]}, dtype="int64")
-
-    return loaded.groupBy("bucket", "cell_a", "cell_b").applyInPandas(join, "a long, b long")
+    loaded = cells.select("bucket", "cell_a", "cell_b", "key", "label").join(sets.select("key", "grams"), "key").select("bucket", "cell_a", "cell_b", "key", "label", "grams")
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for groups in _cells(batches):
+            links = []
+            for keys, labels, sets in groups:
+                if every_pair:  # rarest first
+                    known, ranks = np.unique(np.concatenate(sets), return_inverse=True)
+                    rank = np.argsort(np.argsort(np.bincount(ranks), kind="stable"), kind="stable").astype(np.uint64)
+                    sets = [np.sort(r) for r in np.split(rank[ranks], np.cumsum([len(g) for g in sets])[:-1])]
+                links += tree_links(sets, keys, labels, threshold)
+            yield pa.RecordBatch.from_arrays([pa.array([link[k] for link in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    cell = ["bucket", "cell_a", "cell_b"]
+    return loaded.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(join, "a long, b long")
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[list[int], list[int], list[np.ndarray]]]]:
+    """The keys, labels and sets of each cell, for the cells that end in each batch. Rows are sorted by cell."""
+    name, held = None, ([], [], [])
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        bucket, a, b, key, label = [batch.column(c).to_numpy() for c in ("bucket", "cell_a", "cell_b", "key", "label")]
+        offsets, values = batch.column("grams").offsets.to_numpy(), batch.column("grams").values.to_numpy().view(np.uint64)
+        changes = np.flatnonzero((bucket[1:] != bucket[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1
+        out = []
+        for start, stop in zip([0, *changes.tolist()], [*changes.tolist(), len(key)]):
+            this = bucket[start], a[start], b[start]
+            if this != name and held[0]:
+                out.append(held)
+                held = ([], [], [])
+            name = this
+            held[0].extend(key[start:stop].tolist())
+            held[1].extend(label[start:stop].tolist())
+            held[2].extend(values[offsets[k] : offsets[k + 1]] for k in range(start, stop))
+        yield out
+    if held[0]:
+        yield [held]
 
 
 def _shards(index: DataFrame) -> DataFrame:
@@ -287,7 +312,8 @@ def _first_grams(sets: DataFrame, orders: range) -> DataFrame:
 
 
 def _labelled(sets: DataFrame, links: DataFrame) -> DataFrame:
-    labels = connected_components(links, "a", "b").withColumnsRenamed({"node": "key", "component": "label"})
+    """The sets with a label of connected ones; a component may keep several labels here, which only leaves more sets in doubt."""
+    labels = joined_nodes(links, "a", "b").withColumnRenamed("node", "key")
     return sets.drop("label").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
 
 
