@@ -118,8 +118,18 @@ def topic_gap(items: DataFrame, own_titles: DataFrame, own_domain: str | None =
         lambda w: f"length({w}) BETWEEN 2 AND 12 AND lower({w}) NOT IN ({X.lits(STOP_WORDS)})",
     )
     rivals = items if own_domain is None else items.where(F.expr(f"domain <> {X.lit(own_domain)}"))
-    topics = explode_rows(rivals, tokens if first is None else f"slice({tokens}, 1, {first})", "topic", "query", "domain")
-    covered = cut_lineage(topics.distinct().groupBy("query", "topic").agg(F.count("*").alias("covered")).where("covered >= 2"))
+    kept = tokens if first is None else f"slice({tokens}, 1, {first})"
+    pairs = rivals.select("query", "title", "domain").distinct()
+    # A title is cut once per query; a topic of one title only is covered by that title's domains.
+    titles = cut_lineage(pairs.groupBy("query", "title").agg(F.count("*").alias("domains")))
+    topics = explode_rows(titles, f"array_distinct({kept})", "topic", "query", "title", "domains")
+    counts = cut_lineage(topics.groupBy("query", "topic").agg(F.count("*").alias("titles"), F.sum("domains").alias("covered")).where("covered >= 2"))
+    covered = counts.where("titles = 1").select("query", "topic", "covered")
+    shared = counts.where("titles > 1").selectExpr("query AS _query", "topic AS _topic")
+    if not shared.isEmpty():  # the same domain may stand under several titles
+        held = topics.join(shared, F.expr("query <=> _query AND topic = _topic"), "left_semi").selectExpr("query AS _query", "title AS _title", "topic")
+        met = pairs.join(cut_lineage(held), F.expr("query <=> _query AND title = _title")).select("query", "topic", "domain").distinct()
+        covered = cut_lineage(covered.unionByName(met.groupBy("query", "topic").agg(F.count("*").alias("covered")).where("covered >= 2")))
     wanted = covered.selectExpr("lower(topic) AS needle").distinct()
     held = contained_in(wanted, own_titles.selectExpr("lower(title) AS hay").where("hay <> ''").distinct()).select("needle").distinct()
     joined = covered.withColumn("needle", F.lower("topic")).join(held.withColumn("_held", F.lit(True)), "needle", "left")
