@@ -79,15 +79,15 @@ def _is_question(value: str) -> str:
 
 def related_questions(items: DataFrame, records: DataFrame) -> DataFrame:
     """Question-like titles and answer sentences with their distinct sources counted, per query."""
-    titles = items.selectExpr("query", f"{X.trim_blank('title')} AS question", "concat('serp:', engine, ':pos=', position) AS source")
-    sentences = X.keep(
-        each("split(answer, '[。！!？?;\\n]', -1)", X.trim_blank), lambda s: f"length({s}) BETWEEN 4 AND 199"
-    )
+    # Question words hold no blanks, so texts without any are left out before the others are trimmed.
+    asked = items.where(F.expr(_is_question("title")))
+    titles = asked.selectExpr("query", f"{X.trim_blank('title')} AS question", "concat('serp:', engine, ':pos=', position) AS source")
+    asking = X.keep("split(answer, '[。！!？?;\\n]', -1)", _is_question)
+    sentences = X.keep(each(asking, X.trim_blank), lambda s: f"length({s}) BETWEEN 4 AND 199")
     spoken = explode_rows(records.where(USABLE), sentences, "question", "query", "model").selectExpr(
         "query", "question", "concat('ai:', model, ':answer') AS source"
     )
-    asked = titles.unionByName(spoken).where(F.expr(f"question <> '' AND {_is_question('question')}")).distinct()
-    return asked.groupBy("query", "question").agg(F.count("*").alias("sources"), F.min("source").alias("first_source"))
+    return titles.unionByName(spoken).distinct().groupBy("query", "question").agg(F.count("*").alias("sources"), F.min("source").alias("first_source"))
 
 
 def query_competitors(items: DataFrame, records: DataFrame, own_domain: str | None = None) -> DataFrame:
