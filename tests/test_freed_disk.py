@@ -5,7 +5,7 @@ import random
 
 from siteglass.operators import crawl_graph as G
 from siteglass.operators import similarity as S
-from siteglass.session import stored
+from siteglass.session import ensure_checkpoint_dir, stored
 
 
 def shuffle_bytes(spark) -> int:
@@ -62,3 +62,20 @@ def test_unlike_candidates_are_not_moved(spark, monkeypatch):
     monkeypatch.setattr(S, "stored", counted)
     assert S.verified(pairs, keyed, 0.8).count() == 30
     assert moved["pairs"] == 60 and moved["near"] == 30
+
+
+def test_near_copies_keep_only_their_groups(spark):
+    _, sets = sets_of(spark, [100] * 200, 0.93)
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    found = S.duplicate_groups(sets)
+    names = [f.split("-")[0] for f in set(os.listdir(folder)) - before]
+    assert not {"sets", "index", "labels"} & set(names) and names.count("groups") == 1
+    assert {tuple(sorted(g)) for g in by_group(found)} == {(f"a{i}", f"b{i}") for i in range(200)}
+
+
+def by_group(found) -> list[list[str]]:
+    groups = {}
+    for r in found.collect():
+        groups.setdefault(r.group_id, []).append(r.id)
+    return list(groups.values())
